@@ -1,0 +1 @@
+"""Nothing here on purpose: all inputs are whole tables, so every job is a batch job."""
