@@ -6,12 +6,14 @@ the data is partitioned; results turn into DOUBLE once, where they leave.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tillwise.schemas import MONEY, QUANTITY, UNIT_COST, UNIT_PRICE
+from tillwise.schemas import DAY_MONEY, MONEY, QUANTITY, UNIT_COST, UNIT_PRICE
 
 TOTAL = "decimal(38,12)"  # type of a summed quantity x price
+LOW_BITS = 20
 
 
 def _col(c: str | Column) -> Column:
@@ -22,6 +24,10 @@ def money(c: str | Column) -> Column:
     return _col(c).cast(MONEY)
 
 
+def day_money(c: str | Column) -> Column:
+    return _col(c).cast(DAY_MONEY)
+
+
 def quantity(c: str | Column = "quantity") -> Column:
     return _col(c).cast(QUANTITY)
 
@@ -43,6 +49,22 @@ def as_double(c: str | Column) -> Column:
     return _col(c).cast("double")
 
 
+def exact_sum(c: Column, dtype: T.DecimalType) -> Column:
+    """``sum(c)`` of values with at most 18 digits, for use in a ``groupBy``.
+
+    A grouped DECIMAL sum keeps its buffer as bytes and rebuilds a big number
+    for every row. Sums of longs are several times cheaper: the value in its
+    smallest unit is split into high and low bits, both are summed, and neither
+    sum can overflow before 2^43 rows.
+    """
+    units = (c.cast(dtype) * F.lit(10**dtype.scale)).cast("bigint")
+    high = F.sum(F.shiftright(units, LOW_BITS)).cast("decimal(19,0)")
+    low = F.sum(units.bitwiseAND(F.lit(2**LOW_BITS - 1))).cast("decimal(19,0)")
+    whole = high * F.lit(2**LOW_BITS).cast("decimal(7,0)") + low
+    unit = F.lit(f"{10 ** -dtype.scale:.{dtype.scale}f}").cast(f"decimal({dtype.scale},{dtype.scale})")
+    return (whole * unit).cast(f"decimal(36,{dtype.scale})")
+
+
 def price_times_quantity() -> Column:
     return (quantity() * unit_price()).cast("decimal(36,12)")
 
@@ -63,10 +85,12 @@ def guarded_ratio(numerator: str | Column, denominator: str | Column) -> Column:
     return F.when(d > 0, n / d).otherwise(F.lit(0.0))
 
 
-def is_filled(c: str | Column) -> Column:
-    """Neither NULL nor blank, for keys of any type."""
-    column = _col(c)
-    return column.isNotNull() & (F.trim(column.cast("string")) != "")
+def is_filled(df: DataFrame, name: str) -> Column:
+    """Neither NULL nor, if it is text, blank."""
+    column = F.col(name)
+    if isinstance(df.schema[name].dataType, T.StringType):
+        return column.isNotNull() & (F.trim(column) != "")
+    return column.isNotNull()
 
 
 def is_payment(kind: str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.numbers import (
     cost_times_quantity,
+    exact_sum,
     is_filled,
     less,
     money,
@@ -19,6 +20,7 @@ from tillwise.functions.numbers import (
     unit_price,
 )
 from tillwise.operators.lookup import lookup_join
+from tillwise.schemas import MONEY, QUANTITY
 
 DEFINITIONS = ("list_price", "net", "given")
 
@@ -57,14 +59,14 @@ def gross_profit_net(transactions: DataFrame, products: DataFrame, load_order: s
     """Each sale with cost and profit on net sales; unknown cost counts as zero, given values are replaced."""
     sales = transactions.drop("cogs", "gross_profit")
     costed = lookup_join(sales, last_costs(products, load_order), "product_id")
-    cost = F.coalesce("cogs", F.lit(0).cast("decimal(20,4)"))
+    cost = F.coalesce("cogs", F.lit(0).cast("decimal(18,4)"))
     spent = (cost * total(quantity())).cast("decimal(34,8)")
     return costed.withColumns({"cogs": cost, "gross_profit": total(money("net_sales")) - spent})
 
 
 def named_sales(sales: DataFrame) -> DataFrame:
     """Product results leave out sales that name no product; totals keep them."""
-    return sales.where(is_filled("product_id") & is_filled("product_name"))
+    return sales.where(is_filled(sales, "product_id") & is_filled(sales, "product_name"))
 
 
 def sku_sales(
@@ -78,7 +80,10 @@ def sku_sales(
     """
     check_definition(definition)
     keys = [*extra_keys, "product_id", "product_name"]
-    measures: dict[str, Column] = {"qty": F.sum(quantity()), "revenue": F.sum(money("net_sales"))}
+    measures: dict[str, Column] = {
+        "qty": exact_sum(F.col("quantity"), QUANTITY),
+        "revenue": exact_sum(F.col("net_sales"), MONEY),
+    }
     if "sale_day" in transactions.columns:
         measures["last_day"] = F.max("sale_day")
     if definition == "given":
@@ -88,9 +93,8 @@ def sku_sales(
     elif definition == "list_price":
         # A line with an empty price, quantity or discount has no list-price profit and is left out of it.
         usable = F.col("quantity").isNotNull() & F.col("unit_price").isNotNull() & F.col("discount").isNotNull()
-        measures["list_qty"] = F.sum(F.when(usable, quantity()))
-        measures["list_value"] = F.sum(F.when(usable, price_times_quantity()))
-        measures["list_discount"] = F.sum(F.when(usable, money("discount")))
+        measures["list_net"] = F.sum(F.when(usable, price_times_quantity() - money("discount")))
+        measures["skipped_qty"] = F.sum(F.when(~usable, quantity()))
     return named_sales(transactions).groupBy(*keys).agg(*[m.alias(name) for name, m in measures.items()])
 
 
@@ -123,7 +127,8 @@ def sku_profit(
         costs = products.groupBy("product_id", unit_cost().alias("cogs")).agg(F.count("*").alias("_copies"))
         joined, copies = lookup_join(sales, costs, "product_id"), F.coalesce("_copies", F.lit(1))
         cost = _known_cost(missing_cogs or "null")
-        profit = less(less(F.col("list_value"), cost_times_quantity(cost, F.col("list_qty"))), F.col("list_discount"))
+        used_qty = total("qty") - total("skipped_qty")
+        profit = less(F.col("list_net"), cost_times_quantity(cost, used_qty))
     copies = copies.cast("decimal(9,0)")
     return joined.select(
         *extra_keys,
@@ -140,7 +145,7 @@ def sku_profit(
 def _known_cost(missing_cogs: str) -> Column:
     if missing_cogs not in ("null", "zero"):
         raise ValueError(f"missing_cogs must be 'null' or 'zero', not {missing_cogs!r}")
-    return F.coalesce("cogs", F.lit(0).cast("decimal(20,4)")) if missing_cogs == "zero" else F.col("cogs")
+    return F.coalesce("cogs", F.lit(0).cast("decimal(18,4)")) if missing_cogs == "zero" else F.col("cogs")
 
 
 def per_product_id(profit: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.numbers import as_double, guarded_ratio, money, total
+from tillwise.functions.numbers import as_double, day_money, guarded_ratio, money, total
 from tillwise.operators.snapshot import beside, transaction_totals
 
 # Result label -> name of the amount in the one-row form.
@@ -27,7 +27,7 @@ def cash_eaters(
     row = beside(
         transaction_totals(transactions, {"discounts": F.sum(money("discount"))}, {}, products),
         refunds.agg(F.sum(money("refund_amount")).alias("refunds")),
-        payouts.agg(F.sum(money("processor_fees")).alias("processor_fees")),
+        payouts.agg(F.sum(day_money("processor_fees")).alias("processor_fees")),
     ).select(*[total(c).cast("decimal(32,6)").alias(c) for c in CATEGORIES.values()])
     leaked = sum((F.col(c) for c in CATEGORIES.values()), F.lit(0).cast("decimal(32,6)"))
     lines = [

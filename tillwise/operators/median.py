@@ -19,7 +19,7 @@ def median_price(transactions: DataFrame, only: DataFrame | None = None) -> Data
     ``only`` restricts the work to the products it lists.
     """
     prices = (
-        transactions.where(is_filled("product_id") & F.col("unit_price").isNotNull())
+        transactions.where(is_filled(transactions, "product_id") & F.col("unit_price").isNotNull())
         .groupBy("product_id", unit_price().alias("unit_price"))
         .agg(F.count("*").alias("n"))
     )
@@ -42,7 +42,7 @@ def median_price(transactions: DataFrame, only: DataFrame | None = None) -> Data
 def median_price_approx(transactions: DataFrame, accuracy: int = 10000) -> DataFrame:
     """A price near the median in one pass; takes one of the two middle prices instead of their mean."""
     return (
-        transactions.where(is_filled("product_id"))
+        transactions.where(is_filled(transactions, "product_id"))
         .groupBy("product_id")
         .agg(F.percentile_approx(as_double(unit_price()), 0.5, accuracy).alias("price"))
     )

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.numbers import as_double, is_payment, money, quantity, total
+from tillwise.functions.numbers import as_double, day_money, is_payment, money, quantity, total
 from tillwise.operators.lookup import lookup_join
 
 
@@ -71,8 +71,8 @@ def executive_snapshot(
         transaction_totals(transactions, sums, bounds, products),
         _distinct_transactions(transactions, approximate),
         payouts.agg(
-            F.sum(money("processor_fees")).alias("processor_fees"),
-            F.sum(money("net_payout_amount")).alias("net_payouts"),
+            F.sum(day_money("processor_fees")).alias("processor_fees"),
+            F.sum(day_money("net_payout_amount")).alias("net_payouts"),
         ),
         refunds.agg(F.sum(money("refund_amount")).alias("refunds")),
     )
@@ -103,7 +103,7 @@ def executive_snapshot_net(
     row = beside(
         transaction_totals(transactions, sums, {}),
         _distinct_transactions(transactions, approximate),
-        payouts.agg(F.sum(money("processor_fees")).alias("processor_fees")),
+        payouts.agg(F.sum(day_money("processor_fees")).alias("processor_fees")),
         refunds.agg(F.sum(money("refund_amount")).alias("refunds")),
     )
     amounts = ["items_sold", "gross_sales", "discounts", "card_sales", "cash_sales", "processor_fees", "refunds"]

@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.functions.numbers import as_double, quantity
+from tillwise.functions.numbers import as_double, exact_sum
 from tillwise.operators.base import named_sales, per_product_id, sku_profit
 from tillwise.operators.coverage import days_of
 from tillwise.operators.lookup import lookup_join
+from tillwise.schemas import QUANTITY
 
 
 def sku_rates(
@@ -62,7 +63,7 @@ def sku_quantities(
     transactions: DataFrame, products: DataFrame | None = None, coverage: DataFrame | None = None
 ) -> DataFrame:
     """Units sold per (product id, name), with or without known cost."""
-    sold = named_sales(transactions).groupBy("product_id", "product_name").agg(F.sum(quantity()).alias("qty"))
+    sold = named_sales(transactions).groupBy("product_id", "product_name").agg(exact_sum(F.col("quantity"), QUANTITY).alias("qty"))
     if products is not None:
         copies = products.groupBy("product_id").agg(F.count("*").cast("decimal(9,0)").alias("_copies"))
         sold = lookup_join(sold, copies, "product_id").withColumn(

@@ -10,10 +10,13 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(20, 6)
-UNIT_PRICE = T.DecimalType(20, 8)
-UNIT_COST = T.DecimalType(20, 4)
-QUANTITY = T.DecimalType(16, 4)
+# Per line at most 18 digits: Parquet and Spark then keep the value in one long instead of a byte array.
+MONEY = T.DecimalType(18, 6)
+UNIT_PRICE = T.DecimalType(18, 8)
+UNIT_COST = T.DecimalType(18, 4)
+QUANTITY = T.DecimalType(14, 4)
+# A payout adds up a day of sales.
+DAY_MONEY = T.DecimalType(28, 6)
 
 TABLES = ("transactions", "refunds", "payouts", "products")
 
@@ -49,9 +52,9 @@ CANONICAL: dict[str, T.StructType] = {
     ),
     "payouts": _table(
         covering_sales_date=T.DateType(),
-        gross_card_volume=MONEY,
-        processor_fees=MONEY,
-        net_payout_amount=MONEY,
+        gross_card_volume=DAY_MONEY,
+        processor_fees=DAY_MONEY,
+        net_payout_amount=DAY_MONEY,
         payout_date=T.DateType(),
     ),
     "products": _table(

@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillwise.functions.numbers import exact_sum
 from tillwise.operators.lookup import lookup_join
+from tillwise.schemas import MONEY
 
 TRANSACTION_COLUMNS = (
     "transaction_id", "sale_day", "product_id", "product_name", "category", "quantity", "unit_price", "gross_sales",
@@ -29,16 +31,25 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
-def _gross() -> Column:
-    return F.col("l_extendedprice").cast("decimal(18,2)")
+# Prices are DOUBLE with two decimals. They become whole cents, discounts and tax whole percents, and money the exact
+# product of these; a cast of each DOUBLE to DECIMAL would go through its text form and cost ten times as much.
+def _cents() -> Column:
+    return F.round(F.col("l_extendedprice") * 100).cast("bigint")
 
 
-def _net() -> Column:
-    return (_gross() * (F.lit(1).cast("decimal(1,0)") - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(20,4)")
+def _percent(rate: str) -> Column:
+    return F.round(F.col(rate) * 100).cast("bigint")
+
 
+def _scaled(whole: Column, digits: int) -> Column:
+    """``whole`` / 10^digits as a DECIMAL with that many decimals."""
+    unit = F.lit(f"{10 ** -digits:.{digits}f}").cast(f"decimal({digits},{digits})")
+    return (whole.cast("decimal(18,0)") * unit).cast(f"decimal(18,{digits})")
 
-def _tax_rate() -> Column:
-    return F.col("l_tax").cast("decimal(4,2)")
+
+def _net() -> Column:
+    """Net sales in hundredths of a cent."""
+    return _cents() * (100 - _percent("l_discount"))
 
 
 def transactions(
@@ -68,19 +79,18 @@ def transactions(
         suppliers = lookup_join(read(spark, folder, "supplier"), nations, "s_nationkey")
         stores = suppliers.select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("store"))
         sales = lookup_join(sales, stores, "l_suppkey", seed="_seed")
-    net = _net()
-    tip = net * F.lit("0.05").cast("decimal(4,2)")
+    tip = F.when(F.col("payment_type") == "CARD", _net() * 5).otherwise(F.lit(0))
     expressions = {
         "transaction_id": F.col("l_orderkey"),
         "product_id": F.col("l_partkey"),
-        "quantity": F.col("l_quantity").cast("bigint").cast("decimal(16,4)"),
-        "unit_price": (F.col("l_extendedprice") / F.col("l_quantity")).cast("decimal(20,8)"),
-        "gross_sales": _gross(),
-        "discount": (_gross() * F.col("l_discount").cast("decimal(4,2)")).cast("decimal(20,4)"),
-        "net_sales": net,
-        "tax": (net * _tax_rate()).cast("decimal(20,6)"),
-        "line_total": (net * (F.lit(1).cast("decimal(1,0)") + _tax_rate())).cast("decimal(20,6)"),
-        "tip_amount": F.when(F.col("payment_type") == "CARD", tip).otherwise(F.lit(0)).cast("decimal(20,6)"),
+        "quantity": F.col("l_quantity").cast("bigint").cast("decimal(14,4)"),
+        "unit_price": _scaled(F.round(F.col("l_extendedprice") / F.col("l_quantity") * 100_000_000).cast("bigint"), 8),
+        "gross_sales": _scaled(_cents(), 2),
+        "discount": _scaled(_cents() * _percent("l_discount"), 4),
+        "net_sales": _scaled(_net(), 4),
+        "tax": _scaled(_net() * _percent("l_tax"), 6),
+        "line_total": _scaled(_net() * (100 + _percent("l_tax")), 6),
+        "tip_amount": _scaled(tip, 6),
     }
     stores = [F.col("store")] if with_store else []
     return sales.select(*[expressions.get(c, F.col(c)).alias(c) for c in columns], *stores)
@@ -92,14 +102,14 @@ def refunds(spark: SparkSession, folder: str) -> DataFrame:
     return returned.select(
         F.col("l_orderkey").alias("original_transaction_id"),
         F.col("l_shipdate").cast("date").alias("refund_date"),
-        _net().alias("refund_amount"),
+        _scaled(_net(), 4).alias("refund_amount"),
     )
 
 
 def payouts(spark: SparkSession, folder: str) -> DataFrame:
     """One card payout per day of sale: 2.5 % fee, paid two days later."""
     card = transactions(spark, folder, ["sale_day", "payment_type", "line_total"]).where("payment_type = 'CARD'")
-    volume = card.groupBy("sale_day").agg(F.sum("line_total").cast("decimal(28,6)").alias("gross_card_volume"))
+    volume = card.groupBy("sale_day").agg(exact_sum(F.col("line_total"), MONEY).cast("decimal(28,6)").alias("gross_card_volume"))
     return volume.select(
         F.col("sale_day").alias("covering_sales_date"),
         "gross_card_volume",
