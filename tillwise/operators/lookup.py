@@ -12,7 +12,7 @@ HOT_SHARE = 1000
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of the optimised plan; None where it cannot be asked (Spark Connect)."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - the estimate only selects between two correct plans
         return None
 

@@ -11,10 +11,6 @@ from pyspark.sql import types as T
 CORRUPT = "_malformed"
 
 
-class MalformedRow(ValueError):
-    """A strict read met a line that does not fit the header."""
-
-
 def _header(spark: SparkSession, path: str | list[str]) -> list[str]:
     return spark.read.options(header=True, inferSchema=False, escape='"', encoding="UTF-8").csv(path).columns
 
@@ -42,8 +38,9 @@ def read_csv(
     Only the header line is read to learn the columns; the data is read once,
     in parallel. A line with too few or too many fields stays, with what could
     be read of it (``keep_malformed_text`` adds the line as ``_malformed``),
-    unless ``strict``, which fails. Files are split for parallel reading where no quoted value spans
-    lines; ``multiline=None`` finds out, True or False skips the search.
+    unless ``strict``, which fails. Files are split for parallel reading where
+    no quoted value spans lines; ``multiline=None`` finds out, True or False
+    skips the search.
     """
     if multiline is None:
         multiline = has_multiline_values(spark, path)
@@ -52,10 +49,14 @@ def read_csv(
     reader = spark.read.options(
         header=True, escape='"', multiLine=multiline, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
     )
+    if strict or keep_malformed_text:
+        # Otherwise a line is not checked as a whole when a query reads some of its columns only.
+        reader = reader.option("columnPruning", False)
     raw = reader.schema(schema.add(CORRUPT, T.StringType())).csv(path)
     if strict:
-        # Checked on the row itself: Spark's FAILFAST skips the check for columns a query does not read.
-        raw = raw.where(F.assert_true(F.col(CORRUPT).isNull(), F.concat(F.lit("malformed row: "), CORRUPT)).isNull())
+        # The first column appears in the message because Spark refuses to read the malformed text alone.
+        line = F.coalesce(CORRUPT, F.col(f"`{header[0]}`"))
+        raw = raw.where(F.assert_true(F.col(CORRUPT).isNull(), F.concat(F.lit("malformed row: "), line)).isNull())
     # Spark makes repeated header names unique by position, so names can be matched one to one.
     kept = [(name, name.strip()) for name in header if not _is_junk(name)]
     columns = [F.col(f"`{name}`").alias(trimmed) for name, trimmed in kept]
