@@ -119,7 +119,7 @@ def test_hot_key_is_spread_even_if_its_rows_are_copies(spark, no_broadcast):
     hot = {r["k"]: r["_salts"] for r in dicts(lookup.hot_keys(facts, ["k"]))}
     assert hot == {"hot": 500}
     keyed = spark.createDataFrame([("hot", "a")], "k string, name string")
-    joined = lookup._salted_left_join(facts, keyed, ["k"], None)
+    joined = lookup._salted_left_join(facts, keyed, ["k"], lookup.hot_keys(facts, ["k"]))
     assert joined.count() == 4000 and joined.where("name = 'a'").count() == 2000
 
 
@@ -132,6 +132,19 @@ def test_analyses_do_not_depend_on_the_join_strategy(spark, no_broadcast):
     assert len(dicts(clearance.free_up_cash(tx, pm))) == 2
 
 
+def test_hot_keys_of_a_sample(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "SAMPLE_ROWS", 4000)
+    scan = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
+    found = dicts(lookup.hot_keys(scan, ["k"], share=20))
+    assert [r["k"] for r in found] == [-1] and 5 <= found[0]["_salts"] <= 9
+
+
+def test_rows_behind_a_shuffle_are_salted_by_content(spark):
+    scan = spark.range(10)
+    assert "monotonically" in str(lookup._row_number(scan))
+    assert "xxhash64" in str(lookup._row_number(scan.repartition(3)))
+
+
 @pytest.mark.parametrize(("text", "size"), [("10485760", 10485760), ("10MB", 10485760), ("10485760b", 10485760), ("-1", -1)])
 def test_size_settings(text, size):
     assert lookup._size(text) == size

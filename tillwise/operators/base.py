@@ -37,7 +37,8 @@ def processed_transactions(transactions: DataFrame, products: DataFrame) -> Data
     is not listed leaves cost, margin and profit NULL.
     """
     sales = transactions.drop("cogs", "gross_profit", "unit_margin")
-    priced = lookup_join(sales, products.select("product_id", unit_cost().alias("cogs")), "product_id")
+    costs = products.select("product_id", unit_cost().alias("cogs"))
+    priced = lookup_join(sales, costs, "product_id", scan=transactions)
     margin = unit_price() - unit_cost()
     return priced.withColumns(
         {
@@ -58,7 +59,7 @@ def last_costs(products: DataFrame, load_order: str | None = None) -> DataFrame:
 def gross_profit_net(transactions: DataFrame, products: DataFrame, load_order: str | None = None) -> DataFrame:
     """Each sale with cost and profit on net sales; unknown cost counts as zero, given values are replaced."""
     sales = transactions.drop("cogs", "gross_profit")
-    costed = lookup_join(sales, last_costs(products, load_order), "product_id")
+    costed = lookup_join(sales, last_costs(products, load_order), "product_id", scan=transactions)
     cost = F.coalesce("cogs", F.lit(0).cast("decimal(18,4)"))
     spent = (cost * total(quantity())).cast("decimal(34,8)")
     return costed.withColumns({"cogs": cost, "gross_profit": total(money("net_sales")) - spent})

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillwise.operators.ordering import stored
+
 # A key is hot when it holds more than 1/HOT_SHARE of all fact rows, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 1000
+SAMPLE_ROWS = 1_000_000
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -28,7 +33,13 @@ def broadcast_limit(df: DataFrame) -> int:
     return _size(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
 
 
-def lookup_join(facts: DataFrame, keyed: DataFrame, key: str | list[str], seed: str | None = None) -> DataFrame:
+def lookup_join(
+    facts: DataFrame,
+    keyed: DataFrame,
+    key: str | list[str],
+    scan: DataFrame | None = None,
+    seed: str | None = None,
+) -> DataFrame:
     """``facts LEFT JOIN keyed USING (key)``, whatever the size of ``keyed`` and however hot a key is.
 
     A small ``keyed`` (by Spark's own size check) is left to Catalyst, which
@@ -38,29 +49,32 @@ def lookup_join(facts: DataFrame, keyed: DataFrame, key: str | list[str], seed:
     facts calls for, and only *their* lookup rows are repeated. All other rows
     keep salt 0. Both plans return the same rows.
 
-    The salt comes from the row's position in its input split, which a retried
-    task reproduces; full copies of one row are spread as well. A caller that
-    chains lookups passes the position as the column ``seed``, taken at the scan.
+    ``scan`` is a table with the fact keys that is cheap to read twice (the
+    facts themselves, or what they were projected from). Without one the facts
+    are taken for a computed, reduced result and are written down first.
+    ``seed`` names a column that numbers the fact rows as the scan read them.
     """
     keys = [key] if isinstance(key, str) else list(key)
     size = estimated_bytes(keyed)
     if size is None or size <= broadcast_limit(facts):
         return facts.join(keyed, keys, "left")
-    return _salted_left_join(facts, keyed, keys, seed)
+    if scan is None:
+        facts = scan = stored(facts, "facts")
+    # Written, so that both sides of the join are sure to see the same hot keys.
+    return _salted_left_join(facts, keyed, keys, stored(hot_keys(scan, keys), "hot-keys"), seed)
 
 
-def _salted_left_join(facts: DataFrame, keyed: DataFrame, keys: list[str], seed: str | None) -> DataFrame:
-    hot = F.broadcast(hot_keys(facts, keys))  # fewer than HOT_SHARE rows, see hot_keys
-    position = F.col(seed) if seed else F.monotonically_increasing_id()
-
-    seeded = facts.withColumn("_position", position)
+def _salted_left_join(
+    facts: DataFrame, keyed: DataFrame, keys: list[str], hot: DataFrame, seed: str | None = None
+) -> DataFrame:
+    hot = F.broadcast(hot)  # fewer than HOT_SHARE rows, see hot_keys
+    seeded = facts.withColumn("_row", F.col(seed) if seed else _row_number(facts))
     salted = (
         seeded.join(hot, keys, "left")
         .withColumn(
-            "_salt",
-            F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("_position"), F.col("_salts"))).cast("int"),
+            "_salt", F.when(F.col("_salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("_row"), "_salts")).cast("int")
         )
-        .drop("_salts", "_position")
+        .drop("_salts", "_row")
     )
     repeated = (
         keyed.join(hot, keys, "left")
@@ -70,16 +84,31 @@ def _salted_left_join(facts: DataFrame, keyed: DataFrame, keys: list[str], seed:
     return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
 
 
-def hot_keys(facts: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
+def _row_number(facts: DataFrame) -> Column:
+    """Something to salt a row by that a retried task works out again.
+
+    Straight from a scan that is the row's position in its split, so copies of
+    one row are told apart. Behind a shuffle rows may come in another order the
+    next time, so there it is the row's content.
+    """
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    if re.search(r"(?<!Broadcast)Exchange", plan):
+        return F.xxhash64(*facts.columns)
+    return F.monotonically_increasing_id()
+
+
+def hot_keys(scan: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
     """Keys with more than 1/share of the rows, and the salts that cut each down to about that share.
 
-    Reads only the key columns and combines them before the shuffle. Since the
-    shares add up to one, the result has fewer than ``share`` rows.
+    Reads only the key columns, of large tables only a sample of rows: which
+    keys are salted decides how the work is spread, never what comes out. The
+    shares of the sample add up to one, so the result has fewer than ``share`` rows.
     """
-    counts = facts.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).groupBy(*keys).agg(F.count("*").alias("_n"))
-    n_rows = facts.agg(F.count("*").alias("_all")).scalar()
-    return (
-        counts.withColumn("_all", n_rows)
-        .where(F.col("_n") * share > F.col("_all"))
-        .select(*keys, F.ceil(F.col("_n") * share / F.col("_all")).cast("int").alias("_salts"))
-    )
+    filled = scan.select(*keys).where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    n_rows = scan.count()
+    if n_rows > SAMPLE_ROWS:
+        filled = filled.sample(SAMPLE_ROWS / n_rows, seed=1)
+        n_rows = SAMPLE_ROWS
+    counts = filled.groupBy(*keys).agg(F.count("*").alias("_n"))
+    salts = F.ceil(F.col("_n") * share / n_rows).cast("int")
+    return counts.where(F.col("_n") * share > n_rows).select(*keys, salts.alias("_salts"))

@@ -111,7 +111,7 @@ def reorder_purchases(
 
 def _affordable(ordered: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     """Products after the cursor that the money left can still buy one unit of."""
-    known = lookup_join(ordered.drop("remaining"), state, keys)
+    known = lookup_join(ordered.drop("remaining"), state, keys, scan=ordered)
     return known.where("pos > cursor AND cost <= remaining")
 
 

@@ -92,14 +92,14 @@ def date_coverage(spark, folder):
 @query
 def executive_snapshot(spark, folder):
     return snapshot.executive_snapshot(
-        star.transactions(spark, folder), star.refunds(spark, folder), star.payouts(spark, folder)
+        _sales(spark, folder, *star.SNAPSHOT_COLUMNS), star.refunds(spark, folder), star.payouts(spark, folder)
     )
 
 
 @query
 def executive_snapshot_relisted(spark, folder):
     return snapshot.executive_snapshot(
-        star.transactions(spark, folder),
+        _sales(spark, folder, *star.SNAPSHOT_COLUMNS),
         star.refunds(spark, folder),
         star.payouts(spark, folder),
         star.products_loaded_twice(spark, folder),
@@ -109,7 +109,7 @@ def executive_snapshot_relisted(spark, folder):
 @query
 def executive_snapshot_net(spark, folder):
     return snapshot.executive_snapshot_net(
-        star.transactions(spark, folder), star.refunds(spark, folder), star.payouts(spark, folder)
+        _sales(spark, folder, *star.SNAPSHOT_COLUMNS), star.refunds(spark, folder), star.payouts(spark, folder)
     )
 
 

@@ -21,6 +21,7 @@ TRANSACTION_COLUMNS = (
     "discount", "net_sales", "tax", "line_total", "payment_type", "tip_amount",
 )
 # Sales measures that need no lookup, and the product name.
+SNAPSHOT_COLUMNS = tuple(c for c in TRANSACTION_COLUMNS if c not in ("product_name", "category", "unit_price"))
 SKU_COLUMNS = ("product_id", "product_name", "quantity", "unit_price", "discount", "net_sales")
 
 _FROM_ORDERS = {"sale_day", "payment_type", "tip_amount"}
@@ -57,7 +58,8 @@ def transactions(
 ) -> DataFrame:
     """Line items as sales; ``with_store`` adds the supplier's nation as ``store``."""
     wanted = set(columns)
-    sales = read(spark, folder, "lineitem").withColumn("_seed", F.monotonically_increasing_id())
+    lines = read(spark, folder, "lineitem")
+    sales = lines.withColumn("_seed", F.monotonically_increasing_id())
     if wanted & _FROM_ORDERS:
         priority = F.substr("o_orderpriority", F.lit(1), F.lit(1))
         orders = read(spark, folder, "orders").select(
@@ -66,19 +68,20 @@ def transactions(
             F.when(priority.isin("1", "2", "3"), "CARD").when(priority == "4", "CASH").otherwise("VOUCHER")
             .alias("payment_type"),
         )
-        sales = lookup_join(sales, orders, "l_orderkey", seed="_seed")
+        sales = lookup_join(sales, orders, "l_orderkey", scan=lines, seed="_seed")
     if wanted & _FROM_PART:
         part = read(spark, folder, "part").select(
             F.col("p_partkey").alias("l_partkey"),
             F.col("p_name").alias("product_name"),
             F.col("p_type").alias("category"),
         )
-        sales = lookup_join(sales, part, "l_partkey", seed="_seed")
+        sales = lookup_join(sales, part, "l_partkey", scan=lines, seed="_seed")
     if with_store:
         nations = read(spark, folder, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-        suppliers = lookup_join(read(spark, folder, "supplier"), nations, "s_nationkey")
+        suppliers = read(spark, folder, "supplier")
+        suppliers = lookup_join(suppliers, nations, "s_nationkey", scan=suppliers)
         stores = suppliers.select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("store"))
-        sales = lookup_join(sales, stores, "l_suppkey", seed="_seed")
+        sales = lookup_join(sales, stores, "l_suppkey", scan=lines, seed="_seed")
     tip = F.when(F.col("payment_type") == "CARD", _net() * 5).otherwise(F.lit(0))
     expressions = {
         "transaction_id": F.col("l_orderkey"),
