@@ -82,6 +82,18 @@ def test_dates_and_dialects(spark, tmp_path):
         store.load_table(spark, "transactions", path, dialect="pos")
 
 
+def test_all_problems_at_once(spark, tmp_path):
+    tx = write(tmp_path / "tx.csv", "\ufeffdate,transaction_id\n2024-03-01,1\n")
+    pm = write(tmp_path / "pm.csv", "product_id\n1\n")
+    with pytest.raises(SchemaError, match="transactions: missing.*products: missing"):
+        store.load_tables(spark, {"transactions": tx, "products": pm})
+    empty = write(tmp_path / "rf.csv", "refund_id\n")
+    with pytest.raises(SchemaError, match="file is empty"):
+        store.load_tables(spark, {"refunds": empty}, dialect="web")
+    lenient = store.load_tables(spark, {"transactions": tx, "refunds": empty}, validate=False)
+    assert dicts(lenient["transactions"])[0]["sale_day"] == DAY and lenient["refunds"].count() == 0
+
+
 def test_load_needs_a_file(spark, tmp_path):
     with pytest.raises(store.NoData):
         store.load_tables(spark, {"transactions": None})

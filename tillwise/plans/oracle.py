@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tillwise.functions.strings import WHITE_SPACE
+from tillwise.operators.report import SNAPSHOT_LINES
 
 _TX = """
 tx0 AS (
@@ -382,4 +383,28 @@ FROM (SELECT * FROM margins ORDER BY margin_pct, revenue, product_id LIMIT 5)"""
          CAST(500000 - coalesce(sum(cogs * units), 0) AS DOUBLE) AS remaining, count(*) AS n_items FROM bought) s
 UNION ALL
 SELECT 'purchase', CAST(to_json(s) AS VARCHAR) FROM (SELECT {_plan('round_even', 'est_gp_uplift_week')} FROM bought) s""",
+    "snapshot_lines": _with(_TX, _RF, _PO, "snap AS (" + _SNAPSHOT_P + "tx)")
+    + " SELECT line_no, label, value FROM ("
+    + " UNION ALL ".join(
+        [
+            "SELECT 0 AS line_no, 'Business Snapshot' AS label, "
+            "CAST(first_day AS VARCHAR) || ' → ' || CAST(last_day AS VARCHAR) AS value FROM snap"
+        ]
+        + [
+            f"SELECT {n}, '{label}', "
+            + (f"CAST({c} AS VARCHAR)" if n < 3 else f"format('{{:,.2f}}', round_even(CAST({c} AS DECIMAL(28,6)), 2))")
+            + " FROM snap"
+            for n, (label, c) in enumerate(SNAPSHOT_LINES.items(), 1)
+        ]
+    )
+    + ")",
+    "leak_lines": _with(_TX, _RF, _PO, _LEAKS, _LEAK_TOTAL)
+    + " SELECT category, format('{:,.2f}', amount) AS amount, "
+    "format('{:,.1f}', amount / everything * 100) || '%' AS share FROM leak, leaktotal",
+    "clearance_message": _with(_TX, _DAYS, _SLOW, _CLEAR)
+    + " SELECT 'Estimated extra cash this week from clearance: ' || format('{:,.2f}', "
+    "CAST(sum(CAST(extra_cash_inflow AS DECIMAL(28,2))) AS DOUBLE)) AS message FROM clear",
+    "reorder_message": _with(_TX, _PM, _PROCESSED, _DAYS, _RATES, _walk(500000, _BEST))
+    + " SELECT 'Budget: 500,000 → Remaining: ' || format('{:,.2f}', "
+    "CAST(500000 - coalesce(sum(cogs * units), 0) AS DOUBLE)) AS message FROM bought",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.functions.numbers import as_double
-from tillwise.operators import base, clearance, coverage, leaks, margins, median, payload, reorder, snapshot, text
+from tillwise.operators import base, clearance, coverage, leaks, margins, median, payload, reorder, report, snapshot, text
 from tillwise.operators import velocity
 from tillwise.operators.ordering import scratch_path
 from tillwise.plans.dispatch import run_analysis
@@ -113,6 +113,11 @@ def executive_snapshot_net(spark, folder):
     )
 
 
+@query
+def snapshot_lines(spark, folder):
+    return report.snapshot_lines(executive_snapshot(spark, folder))
+
+
 @query
 def sales_by_payment_type(spark, folder):
     return snapshot.sales_by_payment_type(_sales(spark, folder, "payment_type", "line_total", "net_sales"))
@@ -142,6 +147,11 @@ def cash_eaters_wide(spark, folder):
     return leaks.cash_eaters_wide(_leaks(spark, folder))
 
 
+@query
+def leak_lines(spark, folder):
+    return report.leak_lines(_leaks(spark, folder))
+
+
 def _margins(spark, folder):
     return margins.product_margins(_sales(spark, folder, *star.SKU_COLUMNS), star.products(spark, folder))
 
@@ -239,6 +249,11 @@ def free_up_total(spark, folder):
     return clearance.free_up_total(_clearance(spark, folder))
 
 
+@query
+def clearance_message(spark, folder):
+    return report.clearance_message(free_up_total(spark, folder))
+
+
 # -- reorder -------------------------------------------------------------------------------------
 
 
@@ -258,6 +273,11 @@ def reorder_summary(spark, folder):
     return reorder.reorder_summary(reorder.reorder_purchases(_rates(spark, folder), BUDGET), BUDGET)
 
 
+@query
+def reorder_message(spark, folder):
+    return report.reorder_message(reorder_summary(spark, folder))
+
+
 def _by_nation(spark, folder):
     sales = star.transactions(spark, folder, star.SKU_COLUMNS, with_store=True)
     rates = velocity.sku_rates(

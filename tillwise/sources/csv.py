@@ -58,7 +58,7 @@ def read_csv(
         line = F.coalesce(CORRUPT, F.col(f"`{header[0]}`"))
         raw = raw.where(F.assert_true(F.col(CORRUPT).isNull(), F.concat(F.lit("malformed row: "), line)).isNull())
     # Spark makes repeated header names unique by position, so names can be matched one to one.
-    kept = [(name, name.strip()) for name in header if not _is_junk(name)]
+    kept = [(name, name.strip("\ufeff").strip()) for name in header if not _is_junk(name)]
     columns = [F.col(f"`{name}`").alias(trimmed) for name, trimmed in kept]
     return raw.select(*columns, *([CORRUPT] if keep_malformed_text else []))
 

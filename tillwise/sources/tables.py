@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tillwise.schemas import CANONICAL, TABLES
 from tillwise.sources.conform import conform, to_dialect
 from tillwise.sources.csv import read_csv, write_csv
-from tillwise.sources.validate import require_columns
+from tillwise.sources.validate import SchemaError, table_problems
 
 # File name of each table in a data folder.
 CSV_NAMES = {
@@ -27,14 +27,17 @@ class NoData(ValueError):
     """Data was asked for before any was loaded."""
 
 
+def _read(spark: SparkSession, table: str, path: str, fmt: str, strict: bool) -> DataFrame:
+    if table not in TABLES:
+        raise ValueError(f"unknown table {table!r}; expected one of {TABLES}")
+    return read_csv(spark, path, strict) if fmt == "csv" else spark.read.format(fmt).load(path)
+
+
 def load_table(
     spark: SparkSession, table: str, path: str, fmt: str = "csv", dialect: str = "pos", strict: bool = False
 ) -> DataFrame:
     """One canonical table from CSV, JSON or Parquet; a missing path or column is an error."""
-    if table not in TABLES:
-        raise ValueError(f"unknown table {table!r}; expected one of {TABLES}")
-    raw = read_csv(spark, path, strict) if fmt == "csv" else spark.read.format(fmt).load(path)
-    return conform(require_columns(raw, table, dialect), table, dialect, strict)
+    return load_tables(spark, {table: path}, fmt, dialect, strict)[table]
 
 
 def load_tables(
@@ -43,12 +46,22 @@ def load_tables(
     fmt: str = "csv",
     dialect: str = "pos",
     strict: bool = False,
+    validate: bool = True,
 ) -> dict[str, DataFrame]:
-    """The tables for which a path is given; at least one."""
+    """The tables for which a path is given; at least one.
+
+    What is wrong with any of them is reported in one error. ``validate=False``
+    takes files as they are, with NULL for columns they lack.
+    """
     given = {table: path for table, path in paths.items() if path}
     if not given:
         raise NoData("no files given")
-    return {table: load_table(spark, table, path, fmt, dialect, strict) for table, path in given.items()}
+    raw = {table: _read(spark, table, path, fmt, strict) for table, path in given.items()}
+    if validate:
+        problems = [p for table, df in raw.items() for p in table_problems(df, table, dialect)]
+        if problems:
+            raise SchemaError("; ".join(problems))
+    return {table: conform(df, table, dialect, strict) for table, df in raw.items()}
 
 
 def load_folder(spark: SparkSession, folder: str, **options) -> dict[str, DataFrame]:

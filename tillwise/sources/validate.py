@@ -19,13 +19,21 @@ def missing_columns(df: DataFrame, table: str, dialect: str = "pos") -> list[str
     return [c for c in REQUIRED_COLUMNS[dialect][table] if c not in df.columns]
 
 
+def table_problems(df: DataFrame, table: str, dialect: str = "pos") -> list[str]:
+    """What keeps ``df`` from being used as ``table``, in words; in the web dialect also that it is empty."""
+    if dialect == "web" and df.isEmpty():
+        return [f"{table}: file is empty"]
+    missing = missing_columns(df, table, dialect)
+    if not missing:
+        return []
+    return [f"{table}: missing required columns {', '.join(missing)}; available columns {', '.join(df.columns)}"]
+
+
 def require_columns(df: DataFrame, table: str, dialect: str = "pos") -> DataFrame:
     """``df`` itself, or an error naming what is missing and what is there."""
-    missing = missing_columns(df, table, dialect)
-    if missing:
-        raise SchemaError(
-            f"{table}: missing required columns {', '.join(missing)}; available columns {', '.join(df.columns)}"
-        )
+    problems = table_problems(df, table, dialect)
+    if problems:
+        raise SchemaError(problems[0])
     return df
 
 
