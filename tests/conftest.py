@@ -16,8 +16,6 @@ def spark(tmp_path_factory):
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
-            # Tests run each plan once: quick compilation beats fast code.
-            "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",
             "spark.checkpoint.dir": str(scratch),
         },
     )

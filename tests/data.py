@@ -5,22 +5,30 @@ from __future__ import annotations
 import datetime as dt
 from decimal import Decimal
 
+import pyarrow as pa
+from pyspark.sql.pandas.types import to_arrow_schema
+
 from tillwise.schemas import CANONICAL
 
 DAY = dt.date(2024, 3, 1)
 
 
-def table(spark, name, rows):
-    """Rows as dicts; columns left out are NULL, numbers become decimals where the schema says so."""
-    schema = CANONICAL[name]
+def frame(spark, rows, schema):
+    """A local table whose size Spark knows; rows are tuples or dicts, numbers become decimals where the schema says so."""
 
-    def cell(row, field):
-        value = row.get(field.name)
+    def cell(value, field):
         if value is not None and field.dataType.typeName() == "decimal":
             return Decimal(str(value))
         return value
 
-    return spark.createDataFrame([tuple(cell(r, f) for f in schema.fields) for r in rows], schema)
+    named = [r if isinstance(r, dict) else dict(zip(schema.names, r, strict=True)) for r in rows]
+    cells = [{f.name: cell(r.get(f.name), f) for f in schema.fields} for r in named]
+    return spark.createDataFrame(pa.Table.from_pylist(cells, to_arrow_schema(schema)), schema)
+
+
+def table(spark, name, rows):
+    """A canonical table; columns left out are NULL."""
+    return frame(spark, rows, CANONICAL[name])
 
 
 def sale(product="A", qty=1, price=10, discount=0, net=None, day=DAY, **more):

@@ -8,6 +8,8 @@ sees the same columns whatever the file said.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Per line at most 18 digits: Parquet and Spark then keep the value in one long instead of a byte array.
@@ -98,6 +100,11 @@ RENAMES: dict[str, dict[str, dict[str, str]]] = {
 }
 
 
-def empty_tables(spark) -> dict:
+def empty_table(spark: SparkSession, table: str) -> DataFrame:
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in CANONICAL[table].fields]
+    return spark.range(0).select(*nothing)
+
+
+def empty_tables(spark: SparkSession) -> dict[str, DataFrame]:
     """The bundle of a shop that has connected but not sold anything yet."""
-    return {name: spark.createDataFrame([], schema) for name, schema in CANONICAL.items()}
+    return {table: empty_table(spark, table) for table in TABLES}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillwise.schemas import CANONICAL, TABLES
+from tillwise.schemas import CANONICAL, TABLES, empty_table
 from tillwise.sources.conform import conform, to_dialect
 from tillwise.sources.csv import read_csv, write_csv
 from tillwise.sources.validate import SchemaError, table_problems
@@ -97,9 +97,7 @@ def current(spark: SparkSession) -> dict[str, DataFrame]:
 
 def with_empty(spark: SparkSession, tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """All four tables, those not given being empty."""
-    return {
-        t: tables[t] if t in tables else spark.createDataFrame([], schema) for t, schema in CANONICAL.items()
-    }
+    return {t: tables[t] if t in tables else empty_table(spark, t) for t in TABLES}
 
 
 def save_session(tables: Mapping[str, DataFrame], folder: str, session_id: str) -> None:
