@@ -147,4 +147,4 @@ def test_rows_behind_a_shuffle_are_salted_by_content(spark):
 
 @pytest.mark.parametrize(("text", "size"), [("10485760", 10485760), ("10MB", 10485760), ("10485760b", 10485760), ("-1", -1)])
 def test_size_settings(text, size):
-    assert lookup._size(text) == size
+    assert lookup.bytes_of(text) == size

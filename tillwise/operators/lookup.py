@@ -22,7 +22,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def _size(text: str) -> int:
+def bytes_of(text: str) -> int:
     """Bytes of a size setting such as ``10485760``, ``10485760b`` or ``10MB``."""
     text = text.strip().lower().removesuffix("b")
     factor = {"k": 2**10, "m": 2**20, "g": 2**30, "t": 2**40}.get(text[-1:], 1)
@@ -30,7 +30,7 @@ def _size(text: str) -> int:
 
 
 def broadcast_limit(df: DataFrame) -> int:
-    return _size(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
+    return bytes_of(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760"))
 
 
 def lookup_join(

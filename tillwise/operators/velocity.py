@@ -63,7 +63,8 @@ def sku_quantities(
     transactions: DataFrame, products: DataFrame | None = None, coverage: DataFrame | None = None
 ) -> DataFrame:
     """Units sold per (product id, name), with or without known cost."""
-    sold = named_sales(transactions).groupBy("product_id", "product_name").agg(exact_sum(F.col("quantity"), QUANTITY).alias("qty"))
+    units = exact_sum(F.col("quantity"), QUANTITY)
+    sold = named_sales(transactions).groupBy("product_id", "product_name").agg(units.alias("qty"))
     if products is not None:
         copies = products.groupBy("product_id").agg(F.count("*").cast("decimal(9,0)").alias("_copies"))
         sold = lookup_join(sold, copies, "product_id").withColumn(

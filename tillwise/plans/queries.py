@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.functions.numbers import as_double
-from tillwise.operators import base, clearance, coverage, leaks, margins, median, payload, reorder, report, snapshot, text
-from tillwise.operators import velocity
+from tillwise.operators import base, clearance, coverage, leaks, margins, median, payload, reorder, report
+from tillwise.operators import snapshot, text, velocity
 from tillwise.operators.ordering import scratch_path
 from tillwise.plans.dispatch import run_analysis
 from tillwise.sources import star

@@ -28,8 +28,21 @@ _FROM_ORDERS = {"sale_day", "payment_type", "tip_amount"}
 _FROM_PART = {"product_name", "category"}
 
 
+# Declared, so that opening a table starts no job to find out.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "part": "p_partkey bigint, p_name string, p_type string, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+    "documents": "doc_id bigint, text string",
+    "conversations": "conv_id bigint, turn bigint, text string",
+}
+
+
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet")
+    return spark.read.schema(SCHEMAS[table]).parquet(f"{folder.rstrip('/')}/{table}.parquet")
 
 
 # Prices are DOUBLE with two decimals. They become whole cents, discounts and tax whole percents, and money the exact
@@ -53,6 +66,21 @@ def _net() -> Column:
     return _cents() * (100 - _percent("l_discount"))
 
 
+# Canonical column -> its expression over the line items; called only for the columns asked for.
+MEASURES = {
+    "transaction_id": lambda: F.col("l_orderkey"),
+    "product_id": lambda: F.col("l_partkey"),
+    "quantity": lambda: F.col("l_quantity").cast("bigint").cast("decimal(14,4)"),
+    "unit_price": lambda: _scaled(F.round(F.col("l_extendedprice") / F.col("l_quantity") * 10**8).cast("bigint"), 8),
+    "gross_sales": lambda: _scaled(_cents(), 2),
+    "discount": lambda: _scaled(_cents() * _percent("l_discount"), 4),
+    "net_sales": lambda: _scaled(_net(), 4),
+    "tax": lambda: _scaled(_net() * _percent("l_tax"), 6),
+    "line_total": lambda: _scaled(_net() * (100 + _percent("l_tax")), 6),
+    "tip_amount": lambda: _scaled(F.when(F.col("payment_type") == "CARD", _net() * 5).otherwise(0), 6),
+}
+
+
 def transactions(
     spark: SparkSession, folder: str, columns: Sequence[str] = TRANSACTION_COLUMNS, with_store: bool = False
 ) -> DataFrame:
@@ -82,21 +110,12 @@ def transactions(
         suppliers = lookup_join(suppliers, nations, "s_nationkey", scan=suppliers)
         stores = suppliers.select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("store"))
         sales = lookup_join(sales, stores, "l_suppkey", scan=lines, seed="_seed")
-    tip = F.when(F.col("payment_type") == "CARD", _net() * 5).otherwise(F.lit(0))
-    expressions = {
-        "transaction_id": F.col("l_orderkey"),
-        "product_id": F.col("l_partkey"),
-        "quantity": F.col("l_quantity").cast("bigint").cast("decimal(14,4)"),
-        "unit_price": _scaled(F.round(F.col("l_extendedprice") / F.col("l_quantity") * 100_000_000).cast("bigint"), 8),
-        "gross_sales": _scaled(_cents(), 2),
-        "discount": _scaled(_cents() * _percent("l_discount"), 4),
-        "net_sales": _scaled(_net(), 4),
-        "tax": _scaled(_net() * _percent("l_tax"), 6),
-        "line_total": _scaled(_net() * (100 + _percent("l_tax")), 6),
-        "tip_amount": _scaled(tip, 6),
-    }
     stores = [F.col("store")] if with_store else []
-    return sales.select(*[expressions.get(c, F.col(c)).alias(c) for c in columns], *stores)
+    return sales.select(*[MEASURES[c]().alias(c) if c in MEASURES else F.col(c) for c in columns], *stores)
+
+
+def _part_of(amount: str, rate: str) -> Column:
+    return (F.col(amount) * F.lit(rate).cast("decimal(4,3)")).cast("decimal(30,6)")
 
 
 def refunds(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,14 +131,13 @@ def refunds(spark: SparkSession, folder: str) -> DataFrame:
 def payouts(spark: SparkSession, folder: str) -> DataFrame:
     """One card payout per day of sale: 2.5 % fee, paid two days later."""
     card = transactions(spark, folder, ["sale_day", "payment_type", "line_total"]).where("payment_type = 'CARD'")
-    volume = card.groupBy("sale_day").agg(exact_sum(F.col("line_total"), MONEY).cast("decimal(28,6)").alias("gross_card_volume"))
+    volume = exact_sum(F.col("line_total"), MONEY).cast("decimal(28,6)")
+    volume = card.groupBy("sale_day").agg(volume.alias("gross_card_volume"))
     return volume.select(
         F.col("sale_day").alias("covering_sales_date"),
         "gross_card_volume",
-        (F.col("gross_card_volume") * F.lit("0.025").cast("decimal(4,3)")).cast("decimal(30,6)").alias("processor_fees"),
-        (F.col("gross_card_volume") * F.lit("0.975").cast("decimal(4,3)"))
-        .cast("decimal(30,6)")
-        .alias("net_payout_amount"),
+        _part_of("gross_card_volume", "0.025").alias("processor_fees"),
+        _part_of("gross_card_volume", "0.975").alias("net_payout_amount"),
         F.date_add("sale_day", 2).alias("payout_date"),
     )
 
@@ -135,11 +153,10 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def products_loaded_twice(spark: SparkSession, folder: str) -> DataFrame:
-    """The master with a second load that lists every tenth product again, two units dearer; ``load_no`` orders them."""
+    """The master and a second load of every tenth product, two units dearer; ``load_no`` orders them."""
     first = products(spark, folder).withColumn("load_no", F.lit(1))
-    second = first.where("product_id % 10 = 0").withColumns({"cogs": (F.col("cogs") + 2).cast("decimal(18,2)"),
-                                                             "load_no": F.lit(2)})
-    return first.unionByName(second)
+    dearer = {"cogs": (F.col("cogs") + 2).cast("decimal(18,2)"), "load_no": F.lit(2)}
+    return first.unionByName(first.where("product_id % 10 = 0").withColumns(dearer))
 
 
 def tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -152,7 +169,7 @@ def tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def marked_up_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents rewritten as insight texts: each sentence a line, by turns a heading, bullets, text and a blank line."""
+    """Documents as insight texts: each sentence a line, by turns a heading, bullets, text and a blank line."""
 
     def line(sentence: Column, i: Column) -> Column:
         number = F.floor(i / 6) + 1
