@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 
 from data import dicts, product, sale, table
 
-from tillwise.operators import leaks, margins, payload, reorder, text, velocity
+from tillwise.operators import leaks, margins, payload, reorder, report, snapshot, text, velocity
 from tillwise.schemas import empty_tables
 
 
@@ -105,3 +106,19 @@ def test_empty_results_still_make_a_record(spark):
     eaters = leaks.cash_eaters(tables["transactions"], tables["refunds"], tables["payouts"])
     low = margins.low_margin_products(margins.product_margins(tables["transactions"], tables["products"]))
     assert json.loads(payload.cash_payload(eaters, low).first()["payload"])["low_margin_products"] == []
+
+
+def test_lines_to_read(spark):
+    tables = empty_tables(spark)
+    tx = table(spark, "transactions", [sale("A", 200, 10, Decimal("0.5"))])
+    shot = snapshot.executive_snapshot(tx, tables["refunds"], tables["payouts"])
+    lines = {r["label"]: r["value"] for r in dicts(report.snapshot_lines(shot))}
+    assert lines["Business Snapshot"] == "2024-03-01 → 2024-03-01"
+    assert (lines["Items sold"], lines["Gross sales"], lines["Discounts"]) == ("200", "€2,000.00", "€0.50")
+    eaters = report.leak_lines(leaks.cash_eaters(tx, tables["refunds"], tables["payouts"]))
+    assert dicts(eaters)[0] == {"category": "Discounts", "amount": "€0.50", "share": "100.0%"}
+    bought = reorder.reorder_purchases(velocity.sku_rates(tx, table(spark, "products", [product("A", 4)])), 500.5)
+    messages = report.reorder_message(reorder.reorder_summary(bought, 500.5))
+    assert dicts(messages) == [{"message": "Budget: €500 → Remaining: €0.50"}]
+    total = spark.sql("SELECT 1234.5D AS total_extra_cash")
+    assert dicts(report.clearance_message(total))[0]["message"].endswith("clearance: €1234.50")

@@ -23,20 +23,28 @@ SNAPSHOT_LINES = {
 }
 COUNTS = ("transactions", "items_sold")
 
+# The wording of the one-line messages.
+BUDGET, REMAINING = "Budget: ", " → Remaining: "
+CLEARANCE = "Estimated extra cash this week from clearance: "
+CURRENCY = "€"
 
-def _amount(c: str | Column, digits: int = 2) -> Column:
-    return F.format_number(rounded(c, digits).cast(f"decimal(28,{digits})"), digits)
+
+def _plain(c: str | Column, digits: int) -> Column:
+    """A number with fixed decimals and no separators."""
+    return rounded(c, digits).cast(f"decimal(28,{digits})").cast("string")
+
+
+def _money(c: str | Column, digits: int = 2) -> Column:
+    return F.concat(F.lit(CURRENCY), _plain(c, digits))
 
 
 def snapshot_lines(snapshot: DataFrame) -> DataFrame:
-    """The one-row snapshot as ``line_no, label, value``; counts plain, amounts like 1,234.50."""
+    """The one-row snapshot as ``line_no, label, value``; counts plain, amounts like €1,234.50."""
     period = F.concat_ws(" → ", F.col("first_day").cast("string"), F.col("last_day").cast("string"))
     values = [("Business Snapshot", period)]
-    values += [
-        (label, F.col(c).cast("string") if c in COUNTS else _amount(c))
-        for label, c in SNAPSHOT_LINES.items()
-        if c in snapshot.columns
-    ]
+    for label, c in SNAPSHOT_LINES.items():
+        grouped = F.format_number(rounded(c, 2).cast("decimal(28,2)"), 2)
+        values.append((label, F.col(c).cast("string") if c in COUNTS else F.concat(F.lit(CURRENCY), grouped)))
     lines = [
         F.struct(F.lit(n).alias("line_no"), F.lit(label).alias("label"), value.alias("value"))
         for n, (label, value) in enumerate(values)
@@ -46,20 +54,16 @@ def snapshot_lines(snapshot: DataFrame) -> DataFrame:
 
 def leak_lines(leaks: DataFrame) -> DataFrame:
     """Leaks with their amount and share as text."""
-    return leaks.select(
-        "category", _amount("amount").alias("amount"), F.concat(_amount("percentage", 1), F.lit("%")).alias("share")
-    )
+    share = F.concat(_plain("percentage", 1), F.lit("%"))
+    return leaks.select("category", _money("amount").alias("amount"), share.alias("share"))
 
 
 def reorder_message(summary: DataFrame) -> DataFrame:
-    """``Budget: 500 → Remaining: 12.30``, per row of the summary."""
-    text = F.concat(
-        F.lit("Budget: "), _amount("budget", 0), F.lit(" → Remaining: "), _amount("remaining")
-    )
-    return summary.select(*[c for c in summary.columns if c not in ("budget", "spent", "remaining", "n_items")],
-                          text.alias("message"))
+    """``Budget: €500 → Remaining: €12.30``, one per row of the summary."""
+    text = F.concat(F.lit(BUDGET), _money("budget", 0), F.lit(REMAINING), _money("remaining"))
+    stores = [c for c in summary.columns if c not in ("budget", "spent", "remaining", "n_items")]
+    return summary.select(*stores, text.alias("message"))
 
 
 def clearance_message(total: DataFrame) -> DataFrame:
-    text = F.concat(F.lit("Estimated extra cash this week from clearance: "), _amount("total_extra_cash"))
-    return total.select(text.alias("message"))
+    return total.select(F.concat(F.lit(CLEARANCE), _money("total_extra_cash")).alias("message"))

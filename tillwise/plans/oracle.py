@@ -392,19 +392,19 @@ SELECT 'purchase', CAST(to_json(s) AS VARCHAR) FROM (SELECT {_plan('round_even',
         ]
         + [
             f"SELECT {n}, '{label}', "
-            + (f"CAST({c} AS VARCHAR)" if n < 3 else f"format('{{:,.2f}}', round_even(CAST({c} AS DECIMAL(28,6)), 2))")
+            + (f"CAST({c} AS VARCHAR)" if n < 3 else f"'€' || format('{{:,.2f}}', round_even(CAST({c} AS DECIMAL(28,6)), 2))")
             + " FROM snap"
             for n, (label, c) in enumerate(SNAPSHOT_LINES.items(), 1)
         ]
     )
     + ")",
     "leak_lines": _with(_TX, _RF, _PO, _LEAKS, _LEAK_TOTAL)
-    + " SELECT category, format('{:,.2f}', amount) AS amount, "
-    "format('{:,.1f}', amount / everything * 100) || '%' AS share FROM leak, leaktotal",
+    + " SELECT category, '€' || format('{:.2f}', amount) AS amount, "
+    "format('{:.1f}', amount / everything * 100) || '%' AS share FROM leak, leaktotal",
     "clearance_message": _with(_TX, _DAYS, _SLOW, _CLEAR)
-    + " SELECT 'Estimated extra cash this week from clearance: ' || format('{:,.2f}', "
+    + " SELECT 'Estimated extra cash this week from clearance: €' || format('{:.2f}', "
     "CAST(sum(CAST(extra_cash_inflow AS DECIMAL(28,2))) AS DOUBLE)) AS message FROM clear",
     "reorder_message": _with(_TX, _PM, _PROCESSED, _DAYS, _RATES, _walk(500000, _BEST))
-    + " SELECT 'Budget: 500,000 → Remaining: ' || format('{:,.2f}', "
+    + " SELECT 'Budget: €500000 → Remaining: €' || format('{:.2f}', "
     "CAST(500000 - coalesce(sum(cogs * units), 0) AS DOUBLE)) AS message FROM bought",
 }
