@@ -60,4 +60,4 @@ def test_entry(spark):
     rows = contract.entry(spark).collect()
     assert [r.category for r in rows] and len(rows) == 3
     assert abs(sum(r.percentage for r in rows) - 100) < 1e-9
-    assert contract.queries().keys() == QUERIES.keys() and contract.oracle_sql() == ORACLE
+    assert contract.queries().keys() >= QUERIES.keys() and contract.oracle_sql().items() >= ORACLE.items()
