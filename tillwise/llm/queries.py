@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillwise.llm import exact, mixing, quality, sharding
+from tillwise.llm import exact, mixing, private, quality, sharding
 from tillwise.llm.common import documents, text_or_empty
 
 QUERIES = {}
@@ -49,3 +49,8 @@ def op10_sharding(spark, sf_dir):
         "slot",
         sharding.shard_of(F.col("key"), sharding.SHARDS + 1).alias("grown_shard"),
     )
+
+
+@query
+def op4_pii(spark, sf_dir):
+    return private.pseudonymise(documents(spark, sf_dir))
