@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillwise.llm import exact, mixing, private, quality, sharding
+from tillwise.llm import exact, mixing, private, quality, sampling, sharding, substrings, tokens
 from tillwise.llm.common import documents, text_or_empty
 
 QUERIES = {}
@@ -15,6 +15,11 @@ def query(function):
     return function
 
 
+@query
+def op1_token_counts(spark, sf_dir):
+    return tokens.token_counts(documents(spark, sf_dir))
+
+
 @query
 def op3_quality_rules(spark, sf_dir):
     judged = quality.apply_policy(quality.ledger(documents(spark, sf_dir)))
@@ -24,6 +29,16 @@ def op3_quality_rules(spark, sf_dir):
     )
 
 
+@query
+def op5_sentencepiece(spark, sf_dir):
+    return sampling.encode(documents(spark, sf_dir))
+
+
+@query
+def op7_substring_dedup(spark, sf_dir):
+    return substrings.remove_repeats(documents(spark, sf_dir), with_bytes=False).drop("kept")
+
+
 @query
 def op8_exact_dedup(spark, sf_dir):
     return exact.copies(documents(spark, sf_dir))
