@@ -74,3 +74,30 @@ ORACLE["op9_mixing"] = "WITH " + _MIXED.format(table="documents") + """
 SELECT doc_id, text, source, n_copies, copy_no::INT AS copy_no
 FROM counted, unnest(range(0, n_copies)) AS t(copy_no)
 """
+
+# All pairs that share a shingle; components by following the smallest reachable key.
+_NEAR = r"""
+texts AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM {table}),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + {width} - 1], ' ') AS shingle
+             FROM texts, unnest(range(1, greatest(len(words) - {width} + 1, least(len(words), 1)) + 1)) AS t(i)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+sets AS (SELECT doc_id, hash(list(shingle ORDER BY shingle)) AS h FROM shingles GROUP BY doc_id),
+classes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS rep FROM sets),
+reps AS (SELECT s.* FROM shingles s JOIN classes USING (doc_id) WHERE doc_id = rep),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM reps x JOIN reps y USING (shingle)
+           WHERE x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id
+          WHERE 100 * common.n >= 80 * (p.n + q.n - common.n)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sizes
+          UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+components AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a),
+near AS (SELECT t.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, coalesce(rep, t.doc_id) AS class_id,
+                coalesce(component_id, t.doc_id) AS component_id
+         FROM texts t LEFT JOIN sizes USING (doc_id) LEFT JOIN classes USING (doc_id) LEFT JOIN components USING (rep))
+"""
+
+ORACLE["op6_minhash"] = "WITH RECURSIVE " + _NEAR.format(table="documents", width=2) + """
+SELECT *, component_id = doc_id AS kept FROM near
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillwise.llm import exact, mixing, private, quality, sampling, sharding, substrings, tokens
+from tillwise.llm import exact, mixing, near, private, quality, sampling, sharding, substrings, tokens
 from tillwise.llm.common import documents, text_or_empty
 
 QUERIES = {}
@@ -34,6 +34,11 @@ def op5_sentencepiece(spark, sf_dir):
     return sampling.encode(documents(spark, sf_dir))
 
 
+@query
+def op6_minhash(spark, sf_dir):
+    return near.near_duplicates(documents(spark, sf_dir))
+
+
 @query
 def op7_substring_dedup(spark, sf_dir):
     return substrings.remove_repeats(documents(spark, sf_dir), with_bytes=False).drop("kept")

@@ -198,58 +198,57 @@ def collection_bwt(rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.n
     smaller symbol, and among those with c it has the rank that S has among the suffixes preceded by c.
     """
     m = len(rows)
-    column = lambda r, who: np.where(size[who] > r, rows[who, np.maximum(size[who] - 1 - r, 0)].astype(np.int64) + 1, 0)
+
+    def column(r: int, who: np.ndarray) -> np.ndarray:
+        at = size[who] - 1 - r
+        return np.where(at >= 0, rows[who, np.maximum(at, 0)].astype(np.uint16) + 1, 0)
+
     # Round 0: the empty suffixes, in the order of the rows.
     everyone = np.arange(m)
     symbol = column(0, everyone).astype(np.uint16)
-    row = everyone
-    length = np.zeros(m, dtype=np.int16)
+    row = everyone.astype(np.int32)
     fresh = np.arange(m)
-    shared = np.zeros(m, dtype=bool)
     for r in range(1, int(size.max()) + 1):
+        if r == LENGTH:
+            # Shorter suffixes cannot share 50 bytes: length 0 stands for all of them.
+            length, shared = np.zeros(len(symbol), dtype=np.uint8), np.zeros(len(symbol), dtype=bool)
         # Only suffixes inserted last can be extended; where they go follows from the transform.
         going = fresh[symbol[fresh] > 0]
         order = np.argsort(symbol, kind="stable")
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         zeros = int(np.count_nonzero(symbol == 0))
         # The sorted transform is the order of all non-empty suffixes; the m empty ones come before them.
-        target = rank[going] - zeros + m
+        target = rank[going].astype(np.int64) - zeros + m
         who = row[going]
         by_place = np.argsort(target)
         target, who = target[by_place], who[by_place]
         total = len(symbol) + len(who)
-        is_new = np.zeros(total, dtype=bool)
-        is_new[target] = True
-        put = lambda old, new, kind: _weave(old, new, is_new, kind)
-        symbol = put(symbol, column(r, who).astype(np.uint16), np.uint16)
-        row = put(row, who, np.int64)
-        length = put(length, np.full(len(who), r, dtype=np.int16), np.int16)
-        shared = put(shared, np.zeros(len(who), dtype=bool), bool)
-        fresh = target
+        stayed = np.ones(total, dtype=bool)
+        stayed[target] = False
+        stayed = np.flatnonzero(stayed)
+        weave = lambda old, new: _weave(old, new, stayed, target)  # noqa: E731, B023
+        symbol, row, fresh = weave(symbol, column(r, who).astype(np.uint16)), weave(row, who), target
         if r >= LENGTH:
-            # A new suffix changes the common prefix with its neighbours on both sides; shorter ones cannot reach 50.
-            touched = np.unique(np.concatenate([target, target + 1]))
-            touched = touched[(touched > 0) & (touched < total)]
-            touched = touched[(length[touched] >= LENGTH) & (length[touched - 1] >= LENGTH)]
+            length, shared = weave(length, np.uint8(r)), weave(shared, False)
+            # A new suffix changes the common prefix with its neighbours on both sides.
+            touched = np.zeros(total + 1, dtype=bool)
+            touched[target] = touched[target + 1] = True
+            touched = np.flatnonzero(touched[:total])
+            shared[touched] = False
+            touched = touched[(touched > 0) & (length[touched] > 0) & (length[touched - 1] > 0)]
             a, b = row[touched], row[touched - 1]
-            shared[touched] = common_prefix(
-                rows, a, size[a] - length[touched], b, size[b] - length[touched - 1], LENGTH
-            )
-            behind = target + 1
-            behind = behind[behind < total]
-            cut = behind[(length[behind] < LENGTH) | (length[behind - 1] < LENGTH)]
-            shared[cut] = False
-    whole = length >= LENGTH
-    # Shorter suffixes between two windows do not occur where those share 50 bytes: they would sort before both.
-    place = np.flatnonzero(whole)
-    return row[place], (size[row[place]] - length[place]).astype(np.int64), shared[place]
-
-
-def _weave(old: np.ndarray, new: np.ndarray, is_new: np.ndarray, kind) -> np.ndarray:
-    out = np.empty(len(is_new), dtype=kind)
-    out[is_new] = new
-    out[~is_new] = old
+            shared[touched] = common_prefix(rows, a, size[a] - length[touched], b, size[b] - length[touched - 1], LENGTH)
+    # A shorter suffix never stands between two windows that share 50 bytes: it would sort before both.
+    place = np.flatnonzero(length)
+    row = row[place].astype(np.int64)
+    return row, size[row] - length[place], shared[place]
+
+
+def _weave(old: np.ndarray, new, stayed: np.ndarray, target: np.ndarray) -> np.ndarray:
+    out = np.empty(len(stayed) + len(target), dtype=old.dtype)
+    out[stayed] = old
+    out[target] = new
     return out
 
 
@@ -324,17 +323,25 @@ def _spans_batch(key, tag, begin, end, n_buckets: int) -> pa.RecordBatch:
 SPAN_ROWS = "bucket int, block binary, key bigint, tag bigint, spans array<bigint>"
 
 
-def _pack(rows, size, at, key, tag, begin) -> bytes:
-    """Segments (each once) and their occurrences in their smallest document, compressed."""
+def _pack(rows, size, at, text, key, tag, begin) -> bytes:
+    """Segments in order of their texts, each once for each occurrence in its smallest document, compressed."""
+    opens = np.ones(len(text), dtype=bool)
+    opens[1:] = text[1:] != text[:-1]
     out = io.BytesIO()
-    for x in (rows, size.astype(np.uint8), at.astype(np.uint8), key, tag, begin):
+    for x in (
+        rows, size.astype(np.uint8), at.astype(np.uint8), opens, np.diff(key[opens], prepend=0),
+        tag[opens].astype(np.int32), begin,
+    ):
         np.save(out, x)
     return zstandard.ZstdCompressor(level=3).compress(out.getvalue())
 
 
 def _unpack(block: bytes) -> list[np.ndarray]:
+    """rows, size, at, key, tag, begin"""
     raw = io.BytesIO(zstandard.ZstdDecompressor().decompress(block))
-    return [np.load(raw) for _ in range(6)]
+    rows, size, at, opens, key, tag, begin = [np.load(raw) for _ in range(7)]
+    of = np.cumsum(opens) - 1
+    return [rows, size.astype(np.int64), at.astype(np.int64), np.cumsum(key)[of], tag[of].astype(np.int64), begin]
 
 
 def _blocks(n_buckets: int):
@@ -355,9 +362,11 @@ def _blocks(n_buckets: int):
         gone = order[late]
         if len(gone):
             yield _spans_batch(seg_key[gone], seg_tag[gone], begin[gone], begin[gone] + size[gone], n_buckets)
-        stay = order[~late]
-        grams = _gram_hashes(rows[stay].ravel()) if len(stay) else np.zeros(0, U)
-        bucket = (grams[np.arange(len(stay)) * WIDTH + at[stay]] >> U(33)).astype(np.int64) % n_buckets
+        stay = np.sort(order[~late])
+        gram = np.zeros((len(stay), 16), dtype=np.uint8)
+        for i in range(GRAM):
+            gram[:, i] = rows[stay, at[stay] + i]
+        bucket = (_row_hash(gram) >> U(33)).astype(np.int64) % n_buckets
         by = np.argsort(bucket, kind="stable")
         stay, bucket = stay[by], bucket[by]
         cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
@@ -365,7 +374,7 @@ def _blocks(n_buckets: int):
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             s = stay[a:b]
             numbers.append(int(bucket[a]))
-            blocks.append(_pack(rows[s], size[s], at[s], seg_key[s], seg_tag[s], begin[s]))
+            blocks.append(_pack(rows[s], size[s], at[s], text[s], seg_key[s], seg_tag[s], begin[s].astype(np.int32)))
         n = len(numbers)
         yield pa.RecordBatch.from_arrays(
             [
@@ -404,7 +413,6 @@ def _solve(table: pa.Table) -> pa.Table:
         return known
     rows, size, at, key, tag, begin = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
-    size, at = size.astype(np.int64), at.astype(np.int64)
     order, opens = merge_equal(rows, size, key)
     group = np.empty(len(order), dtype=np.int64)
     group[order] = np.cumsum(opens) - 1
@@ -433,7 +441,7 @@ def covered_spans(df: DataFrame, key: str = "doc_id", text: str = "text", bucket
     (begin, end, begin, …; several rows for a document may overlap)."""
     rows = df.select(
         F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(int(NO_KEY))).alias("key"),
-        F.xxhash64(F.col(f"`{text}`")).alias("tag"),
+        F.xxhash64(F.col(f"`{text}`")).cast("int").cast("bigint").alias("tag"),
         F.encode(F.col(f"`{text}`"), "UTF-8").alias("text"),
     ).where(F.octet_length("text") >= LENGTH)
     total = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0  # one number
@@ -488,7 +496,7 @@ def remove_repeats(
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     joined = rows.join(
         spans,
-        (F.coalesce(F.col("key").cast("bigint"), F.lit(int(NO_KEY))) == F.col("_k")) & (F.xxhash64("text") == F.col("_t")),
+        (F.coalesce(F.col("key").cast("bigint"), F.lit(int(NO_KEY))) == F.col("_k")) & (F.xxhash64("text").cast("int").cast("bigint") == F.col("_t")),
         "left",
     ).select("key", F.encode("text", "UTF-8").alias("text"), "spans")
     out = rows.select("key").schema
