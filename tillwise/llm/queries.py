@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillwise.llm import exact, mixing, near, private, quality, sampling, sharding, substrings, tokens
+import corpus_pipeline
+from tillwise.llm import exact, mixing, near, private, quality, sampling, sharding, substrings, tokens, toxicity
 from tillwise.llm.common import documents, text_or_empty
 
 QUERIES = {}
@@ -20,6 +21,12 @@ def op1_token_counts(spark, sf_dir):
     return tokens.token_counts(documents(spark, sf_dir))
 
 
+@query
+def op2_toxicity(spark, sf_dir):
+    texts = documents(spark, sf_dir)
+    return toxicity.toxicity(texts, toxicity.train(texts, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 @query
 def op3_quality_rules(spark, sf_dir):
     judged = quality.apply_policy(quality.ledger(documents(spark, sf_dir)))
@@ -74,3 +81,8 @@ def op10_sharding(spark, sf_dir):
 @query
 def op4_pii(spark, sf_dir):
     return private.pseudonymise(documents(spark, sf_dir))
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
