@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwise.llm.common import stored
@@ -436,12 +436,16 @@ def _solve(table: pa.Table) -> pa.Table:
     return pa.concat_tables([known, pa.Table.from_batches([batch]).select(["key", "tag", "spans"]).cast(known.schema)])
 
 
+def _tag(text: Column) -> Column:
+    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint"))
+
+
 def covered_spans(df: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``key`` (null as the largest number), ``tag`` (a hash of the text, to tell rows of one key apart), ``spans``
     (begin, end, begin, …; several rows for a document may overlap)."""
     rows = df.select(
         F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(int(NO_KEY))).alias("key"),
-        F.xxhash64(F.col(f"`{text}`")).cast("int").cast("bigint").alias("tag"),
+        _tag(F.col(f"`{text}`")).alias("tag"),
         F.encode(F.col(f"`{text}`"), "UTF-8").alias("text"),
     ).where(F.octet_length("text") >= LENGTH)
     total = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0  # one number
@@ -496,7 +500,7 @@ def remove_repeats(
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     joined = rows.join(
         spans,
-        (F.coalesce(F.col("key").cast("bigint"), F.lit(int(NO_KEY))) == F.col("_k")) & (F.xxhash64("text").cast("int").cast("bigint") == F.col("_t")),
+        (F.coalesce(F.col("key").cast("bigint"), F.lit(int(NO_KEY))) == F.col("_k")) & (_tag(F.col("text")) == F.col("_t")),
         "left",
     ).select("key", F.encode("text", "UTF-8").alias("text"), "spans")
     out = rows.select("key").schema
