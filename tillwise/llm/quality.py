@@ -201,4 +201,7 @@ def filter_documents(df: DataFrame, version: int = CURRENT, text: str = "text")
     packed = df.select(F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)]).alias("row"),
                        F.col(f"`{text}`").alias("text"))
     judged = apply_policy(ledger(packed, "row", "text"), version)
-    return judged.where("kept").select(*[F.col(f"row.{n}").alias(c) for c, n in zip(df.columns, names, strict=True)])
+    # Not a plain filter: that would be pushed below the measurements, and every rule would measure the text again.
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select(
+        *[F.col(f"row.{n}").alias(c) for c, n in zip(df.columns, names, strict=True)]
+    )
