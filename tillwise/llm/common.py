@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwise.operators.ordering import scratch_path, shared_folder, stored
 
-__all__ = ["BLANKS", "documents", "hash_int", "free_name", "scratch_path", "shared_folder", "stored", "text_or_empty"]
+__all__ = ["BLANKS", "documents", "free_name", "hash_int", "scratch_path", "shared_folder", "shuffles_cleaned", "stored",
+           "text_or_empty"]
 
 # The white space that the contracts name: [\x20\x09-\x0D]
 BLANKS = " \t\n\x0b\x0c\r"
@@ -36,3 +39,23 @@ def hash_int(*parts: Column) -> Column:
     """
     texts = [F.coalesce(p.cast("string"), F.lit("null")) for p in parts]
     return F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 13), 16, 10).cast("bigint")
+
+
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_cleaned(spark: SparkSession):
+    """Inside, a query's shuffle files go as soon as it has ended, not when the driver happens to collect its garbage.
+
+    For an intermediate table that is written and not computed again. The session's own setting comes back afterwards.
+    """
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)

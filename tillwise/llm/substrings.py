@@ -44,7 +44,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwise.llm.common import stored
+from tillwise.llm.common import shuffles_cleaned, stored
 
 LENGTH = 50
 GRAM = 12
@@ -333,7 +333,7 @@ def _pack(rows, size, at, text, key, tag, begin) -> bytes:
         tag[opens].astype(np.int32), begin,
     ):
         np.save(out, x)
-    return zstandard.ZstdCompressor(level=3).compress(out.getvalue())
+    return zstandard.ZstdCompressor(level=6).compress(out.getvalue())
 
 
 def _unpack(block: bytes) -> list[np.ndarray]:
@@ -493,10 +493,12 @@ def remove_repeats(
     What is left need not be UTF-8: a cut may fall inside a character.
     """
     # The spans of a document come together in one row; a text has at most one span for each 50 bytes and bucket.
-    spans = stored(
-        covered_spans(df, key, text, bucket_bytes).groupBy("key", "tag").agg(F.collect_list("spans").alias("spans")),
-        "spans",
-    ).toDF("_k", "_t", "spans")
+    # The blocks of segments are larger than the texts: they go before the texts are shuffled.
+    with shuffles_cleaned(df.sparkSession):
+        spans = stored(
+            covered_spans(df, key, text, bucket_bytes).groupBy("key", "tag").agg(F.collect_list("spans").alias("spans")),
+            "spans",
+        ).toDF("_k", "_t", "spans")
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     joined = rows.join(
         spans,
