@@ -52,6 +52,7 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_every_query_without_sql_is_known():
+    # Its text writes numbers the Java way; insight_payload_read compares what is in it.
     assert set(QUERIES) - set(ORACLE) == {"insight_payload"}
     assert set(ORACLE) <= set(QUERIES)
 

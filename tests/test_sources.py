@@ -12,7 +12,7 @@ from data import DAY, dicts, product, sale, table
 from tillwise.schemas import REQUIRED_COLUMNS, empty_tables
 from tillwise.sources import tables as store
 from tillwise.sources.conform import conform
-from tillwise.sources.csv import has_multiline_values, read_csv, write_csv
+from tillwise.sources.csv import read_csv, write_csv
 from tillwise.sources.validate import SchemaError, dataset_status, require_columns, schema_report
 
 
@@ -59,16 +59,24 @@ def test_strict_csv(spark, tmp_path):
 
 def test_quoted_line_breaks(spark, tmp_path):
     path = write(tmp_path / "q.csv", 'product_id,product_name\n1,"two\nlines"\n2,"say ""hi"""\n')
-    assert has_multiline_values(spark, path)
-    assert [r["product_name"] for r in dicts(read_csv(spark, path).orderBy("product_id"))] == ["two\nlines", 'say "hi"']
-    flat = write(tmp_path / "f.csv", 'product_id,product_name\n2,"say ""hi"""\n')
-    assert not has_multiline_values(spark, flat)
+    assert [r["product_name"] for r in dicts(read_csv(spark, path, multiline=True).orderBy("product_id"))] == ["two\nlines", 'say "hi"']
+    lines = "".join(f"{i},name {i}\n" for i in range(50))
+    opened = write(tmp_path / "f.csv", f'product_id,product_name\nx,"open\n{lines}y,last\n')
+    assert read_csv(spark, opened).count() == 52
+
+
+def test_files_with_columns_in_another_order_are_refused(spark, tmp_path):
+    (tmp_path / "two").mkdir()
+    write(tmp_path / "two" / "a.csv", "id,name\n1,one\n")
+    write(tmp_path / "two" / "b.csv", "name,id\ntwo,2\n")
+    with pytest.raises(Exception, match="header|CSV"):
+        read_csv(spark, str(tmp_path / "two")).collect()
 
 
 def test_csv_round_trip_keeps_text(spark, tmp_path):
     df = spark.createDataFrame([("1", 'a "b", c'), ("2", "x\ny"), ("3", "back\\slash")], "id string, text string")
     write_csv(df, str(tmp_path / "out"))
-    assert sorted(map(tuple, read_csv(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, df.collect()))
+    assert sorted(map(tuple, read_csv(spark, str(tmp_path / "out"), multiline=True).collect())) == sorted(map(tuple, df.collect()))
 
 
 def test_dates_and_dialects(spark, tmp_path):
@@ -144,8 +152,14 @@ def test_sessions(spark, tmp_path):
     one, seven = store.load_session(spark, folder, "007"), store.load_session(spark, folder, "7")
     assert dicts(one["transactions"]) == dicts(a["transactions"])
     assert seven["transactions"].count() == 2 and seven["products"].count() == 0
-    plan = one["transactions"]._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(session_id" in plan
+    store.save_session({"products": a["products"], "transactions": empty_tables(spark)["transactions"]}, folder, "7")
+    seven = store.load_session(spark, folder, "7")
+    assert seven["transactions"].count() == 0 and dicts(seven["products"]) == dicts(a["products"])
+    store.save_session(empty_tables(spark), folder, "new shop")
+    assert all(df.count() == 0 for df in store.load_session(spark, folder, "new shop").values())
+    assert dicts(store.load_session(spark, folder, "007")["transactions"]) == dicts(a["transactions"])
+    with pytest.raises(store.NoData):
+        store.load_session(spark, folder, "8")
     with pytest.raises(store.NoData):
         store.load_session(spark, str(tmp_path / "none"), "1")
 
@@ -162,6 +176,12 @@ def test_session_document(spark, tmp_path):
     row = dicts(loaded["transactions"])[0]
     assert row["sale_day"] == DAY and row["net_sales"] == Decimal("12.5") and row["tax"] is None
     assert loaded["refunds"].count() == 0
+    web = {"transactions": [{"day": "2024-03-01", "net_sales": 1}], "refunds": [{"transaction_id": "t1", "refund_amount": 2}],
+           "payouts": [{"net_payout": 3}], "products": []}
+    loaded = store.load_session_json(spark, write(tmp_path / "2.json", json.dumps(web)), dialect="web")
+    assert dicts(loaded["transactions"])[0]["sale_day"] == DAY
+    assert dicts(loaded["refunds"])[0]["original_transaction_id"] == "t1"
+    assert dicts(loaded["payouts"])[0]["net_payout_amount"] == Decimal("3")
 
 
 def test_schema_report(spark):

@@ -99,9 +99,5 @@ def is_payment(kind: str) -> Column:
 
 
 def rounded(c: str | Column, digits: int, half_even: bool = True) -> Column:
-    """A DOUBLE rounded as a decimal number, halves to the even digit (or up).
-
-    Six decimals are taken first, so that 0.125 computed as 0.12499999999999999 is still a half.
-    """
-    decimal = _col(c).cast("decimal(28,6)")
-    return (F.bround(decimal, digits) if half_even else F.round(decimal, digits)).cast("double")
+    """A number rounded once, as it is: halves to the even digit, or up. Only real halves count as halves."""
+    return (F.bround(_col(c), digits) if half_even else F.round(_col(c), digits)).cast("double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwise.operators.snapshot import beside
@@ -12,19 +12,28 @@ def _record(columns: list[str]) -> Column:
     return F.struct(*columns)
 
 
-def json_list(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """A short, bounded result (a top-k, the three leaks) as one JSON array; one row."""
-    items = F.array_agg(F.struct(F.col(order).alias("_order"), _record(rows.columns).alias("item")))
-    return rows.agg(F.transform(F.array_sort(items), lambda i: i["item"]).alias(name))
+# The longest list that becomes one value.
+LONGEST_LIST = 100
+
+
+def json_list(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """A short result (a top-k, the three leaks) as one JSON array in ``order``; one row. More than 100 rows are an error."""
+    first = rows.orderBy(*order).limit(LONGEST_LIST + 1)
+    numbered = first.select(F.row_number().over(Window.orderBy(*order)).alias("_order"), _record(rows.columns).alias("item"))
+    items = numbered.agg(F.array_sort(F.array_agg(F.struct("_order", "item"))).alias("items"))
+    short = F.assert_true(F.size("items") <= LONGEST_LIST, F.lit("too many rows for one JSON value")).isNull()
+    return items.where(short).select(F.transform("items", lambda i: i["item"]).alias(name))
 
 
 def cash_payload(leaks: DataFrame, low_margins: DataFrame) -> DataFrame:
-    """Leaks and lowest margins (both of fixed length) in one JSON record."""
+    """Leaks, largest first, and lowest margins (both of fixed length) in one JSON record."""
     parts = [
-        json_list(leaks, "cash_eaters", "category").withColumn("cash_eaters", F.to_json("cash_eaters")),
-        json_list(low_margins, "low_margin_products", "margin_pct").withColumn(
-            "low_margin_products", F.to_json("low_margin_products")
+        json_list(leaks, "cash_eaters", F.desc("amount"), F.asc("category")).withColumn(
+            "cash_eaters", F.to_json("cash_eaters")
         ),
+        json_list(
+            low_margins, "low_margin_products", F.asc("margin_pct"), F.asc("revenue"), F.asc("product_id")
+        ).withColumn("low_margin_products", F.to_json("low_margin_products")),
     ]
     both = beside(*parts)
     return both.select(

@@ -171,19 +171,19 @@ price AS (SELECT product_id, median(CAST(unit_price AS DOUBLE)) AS price FROM tx
 clear0 AS (
   SELECT slow.product_id, product_name, qty, qty_per_day, price, CAST(0.2 AS DOUBLE) AS discount_rate,
          CAST(1.5 AS DOUBLE) AS assumed_lift,
-         CAST(round_even(CAST(qty_per_day * 7 * (CAST(1.5 AS DOUBLE) - 1) AS DECIMAL(28,6)), 0) AS DOUBLE)
+         CAST(round_even(qty_per_day * 7 * (CAST(1.5 AS DOUBLE) - 1), 0) AS DOUBLE)
            AS extra_units,
-         CAST(round_even(CAST(price * (1 - CAST(0.2 AS DOUBLE)) AS DECIMAL(28,6)), 2) AS DOUBLE) AS discounted_price
+         CAST(round_even(price * (1 - CAST(0.2 AS DOUBLE)), 2) AS DOUBLE) AS discounted_price
   FROM slow LEFT JOIN price ON price.product_id = slow.product_id),
 clear AS (
-  SELECT *, CAST(round_even(CAST(extra_units * discounted_price AS DECIMAL(28,6)), 2) AS DOUBLE) AS extra_cash_inflow
+  SELECT *, CAST(round_even(extra_units * discounted_price, 2) AS DOUBLE) AS extra_cash_inflow
   FROM clear0)"""
 
 
 def _plan(rounding: str, uplift: str, extra: str = "") -> str:
     return f"""{extra}product_id, product_name, CAST({rounding}(cogs, 2) AS DOUBLE) AS unit_cogs, units AS suggested_qty,
   CAST({rounding}(cogs * units, 2) AS DOUBLE) AS budget_spend,
-  CAST({rounding}(CAST(units * (gross_profit / greatest(1.0, qty)) AS DECIMAL(28,6)), 2) AS DOUBLE) AS {uplift}"""
+  CAST({rounding}(units * (gross_profit / greatest(1.0, qty)), 2) AS DOUBLE) AS {uplift}"""
 
 
 _SNAPSHOT_P = """SELECT
@@ -207,6 +207,15 @@ _SNAPSHOT_NET = """SELECT
 _MONEY = ["unit_price", "gross_sales", "discount", "net_sales", "tax", "line_total", "tip_amount"]
 _AS_DOUBLE = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ["quantity", *_MONEY])
 
+_LINES = """
+SELECT 'transactions' AS part, CAST(transaction_id AS VARCHAR) AS key, CAST(sale_day AS DATE) AS day,
+       CAST(line_total AS DOUBLE) AS amount FROM tx
+UNION ALL SELECT 'refunds', CAST(original_transaction_id AS VARCHAR), CAST(refund_date AS DATE), CAST(refund_amount AS DOUBLE) FROM rf
+UNION ALL SELECT 'payouts', CAST(CAST(sale_day AS DATE) AS VARCHAR), CAST(sale_day AS DATE) + 2,
+                 CAST(net_payout_amount AS DOUBLE) FROM po
+UNION ALL SELECT 'products', CAST(product_id AS VARCHAR), NULL, CAST(cogs AS DOUBLE) FROM pm"""
+
+
 ORACLE: dict[str, str] = {
     "processed_transactions": _with(_TX, _PM, _PROCESSED)
     + f" SELECT transaction_id, sale_day, product_id, product_name, category, payment_type, {_AS_DOUBLE}, "
@@ -271,14 +280,14 @@ ORACLE: dict[str, str] = {
     "analysis_cash_eaters": _with(_TX, _RF, _PO, _LEAKS) + " SELECT category, amount FROM leak",
     "analysis_snapshot_only": _with(_TX, _RF, _PO) + _SNAPSHOT_NET,
     "csv_ingest": _with(_TX)
-    + " SELECT CAST(transaction_id AS VARCHAR) AS transaction_id, sale_day, CAST(product_id AS VARCHAR) AS product_id, "
-    "product_name, CASE WHEN product_id % 89 <> 0 THEN CAST(quantity AS DOUBLE) END AS quantity, "
-    "CAST(net_sales AS DOUBLE) AS net_sales, payment_type FROM tx",
-    "csv_roundtrip": _with(_RF)
-    + " SELECT CAST(original_transaction_id AS VARCHAR) AS original_transaction_id, refund_date, "
-    "CAST(refund_amount AS DOUBLE) AS refund_amount FROM rf",
-    "session_roundtrip": _with(_TX)
-    + " SELECT transaction_id, sale_day, product_id, payment_type, CAST(line_total AS DOUBLE) AS line_total FROM tx",
+    + " SELECT sale_day, CAST(transaction_id AS VARCHAR) AS transaction_id, CAST(product_id AS VARCHAR) AS product_id, "
+    "product_name, category, CASE WHEN product_id % 89 <> 0 THEN CAST(quantity AS DOUBLE) END AS quantity, "
+    "CAST(unit_price AS DOUBLE) AS unit_price, CAST(gross_sales AS DOUBLE) AS gross_sales, "
+    "CAST(discount AS DOUBLE) AS discount, CAST(net_sales AS DOUBLE) AS net_sales, CAST(tax AS DOUBLE) AS tax, "
+    "CAST(line_total AS DOUBLE) AS line_total, payment_type, CAST(tip_amount AS DOUBLE) AS tip_amount FROM tx",
+    "csv_roundtrip": _with(_TX, _RF, _PO, _PM) + _LINES,
+    "session_roundtrip": _with(_TX, _RF, _PO, _PM)
+    + f" SELECT *, '001' AS session FROM ({_LINES}) UNION ALL SELECT *, '002' FROM ({_LINES}) WHERE part = 'products'",
     "dataset_status": _with(_TX, _RF, _PO)
     + " SELECT 'transactions' AS dataset, true AS loaded, count(*) AS n_rows FROM tx "
     "UNION ALL SELECT 'refunds', true, count(*) FROM rf UNION ALL SELECT 'payouts', true, count(*) FROM po "
@@ -293,7 +302,7 @@ _MARKED = """
 src AS (
   SELECT doc_id, array_to_string(list_transform(string_split(text, '. '), lambda s, n: CASE (n - 1) % 6
     WHEN 0 THEN CAST((n - 1) // 6 + 1 AS VARCHAR) || '. **Point ' || CAST(n - 1 AS VARCHAR) || '** ' || s
-    WHEN 1 THEN '- ' || s WHEN 2 THEN '- **Key**: ' || s WHEN 3 THEN s WHEN 4 THEN 'Note: ' || s ELSE '' END), chr(10))
+    WHEN 1 THEN '- ' || s WHEN 2 THEN '- **Key**: ' || s WHEN 3 THEN s WHEN 4 THEN 'Note: ' || s ELSE chr(10) || s END), chr(10))
     AS text
   FROM documents)"""
 _TURNS = """
@@ -304,7 +313,7 @@ def _strip(text: str) -> str:
     return f"trim({text}, '{WHITE_SPACE}')"
 
 
-def _sections(source: str, keys: str) -> str:
+def _sections(source: str, keys: str, separator: str = "chr(10)") -> str:
     bold = "strpos(c, '**:') > 0"
     before = _strip("substr(c, 1, strpos(c, ':') - 1)")
     plain = f"strpos(c, ':') > 0 AND length({before}) < 80 AND NOT contains({before}, '.')"
@@ -314,7 +323,7 @@ def _sections(source: str, keys: str) -> str:
         f"""
 part AS (
   SELECT {keys}, {_strip('p')} AS p, i FROM (
-    SELECT {keys}, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i
+    SELECT {keys}, unnest(string_split(text, {separator})) AS p, generate_subscripts(string_split(text, {separator}), 1) AS i
     FROM src)),
 sect AS (
   SELECT {keys}, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY i) AS INTEGER) AS section_no, p,
@@ -368,6 +377,7 @@ FROM seen WHERE k <> 'blank'"""
 
 ORACLE |= {
     "text_sections": _sections(_MARKED, "doc_id"),
+    "text_sections_paragraphs": _sections(_MARKED, "doc_id", "chr(10) || chr(10)"),
     "text_sections_turns": _sections(_TURNS, "conv_id, turn"),
     "text_outline": _outline(_MARKED, "doc_id"),
     "text_outline_turns": _outline(_TURNS, "conv_id, turn"),
@@ -392,7 +402,7 @@ SELECT 'purchase', CAST(to_json(s) AS VARCHAR) FROM (SELECT {_plan('round_even',
         ]
         + [
             f"SELECT {n}, '{label}', "
-            + (f"CAST({c} AS VARCHAR)" if n < 3 else f"'€' || format('{{:,.2f}}', round_even(CAST({c} AS DECIMAL(28,6)), 2))")
+            + (f"CAST({c} AS VARCHAR)" if n < 3 else f"'€' || format('{{:,.2f}}', round_even({c}, 2))")
             + " FROM snap"
             for n, (label, c) in enumerate(SNAPSHOT_LINES.items(), 1)
         ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -327,27 +328,49 @@ def csv_ingest(spark, folder):
     path = scratch_path(spark, "csv-ingest")
     write_csv(export.toDF(*[f" {c} " for c in export.columns]), path)
     return _doubles(
-        conform(read_csv(spark, path), "transactions").select(
-            "transaction_id", "sale_day", "product_id", "product_name", "quantity", "net_sales", "payment_type"
-        )
+        conform(read_csv(spark, path), "transactions").drop("cogs", "gross_profit")
     )
 
 
+def _lines(tables):
+    """The four tables as one: table, key, day and amount of each row."""
+    parts = {
+        "transactions": ("transaction_id", "sale_day", "line_total"),
+        "refunds": ("original_transaction_id", "refund_date", "refund_amount"),
+        "payouts": ("covering_sales_date", "payout_date", "net_payout_amount"),
+        "products": ("product_id", None, "cogs"),
+    }
+    lines = [
+        tables[t].select(
+            F.lit(t).alias("part"),
+            F.col(key).cast("string").alias("key"),
+            (F.col(day) if day else F.lit(None)).cast("date").alias("day"),
+            F.col(amount).cast("double").alias("amount"),
+        )
+        for t, (key, day, amount) in parts.items()
+    ]
+    return reduce(lambda a, b: a.unionByName(b), lines)
+
+
 @query
 def csv_roundtrip(spark, folder):
     path = scratch_path(spark, "csv-roundtrip")
     save_folder(star.tables(spark, folder), path)
-    return _doubles(load_folder(spark, path)["refunds"].drop("refund_id"))
+    return _lines(load_folder(spark, path))
 
 
 @query
 def session_roundtrip(spark, folder):
+    """Two sessions; the second is stored again with its products only, and so has nothing else left."""
     path = scratch_path(spark, "sessions")
-    tables = {t: df for t, df in star.tables(spark, folder).items() if t in ("transactions", "products")}
+    tables = star.tables(spark, folder)
     save_session(tables, path, "001")
+    save_session(tables, path, "002")
     save_session({"products": tables["products"]}, path, "002")
-    sales = load_session(spark, path, "001")["transactions"]
-    return _doubles(sales.select("transaction_id", "sale_day", "product_id", "payment_type", "line_total"))
+    return reduce(
+        lambda a, b: a.unionByName(b),
+        [_lines(load_session(spark, path, i)).withColumn("session", F.lit(i)) for i in ("001", "002")],
+    )
 
 
 @query
@@ -377,6 +400,11 @@ def text_sections(spark, folder):
     return text.text_sections(star.marked_up_documents(spark, folder), "doc_id", separator="\n")
 
 
+@query
+def text_sections_paragraphs(spark, folder):
+    return text.text_sections(star.marked_up_documents(spark, folder), "doc_id")
+
+
 @query
 def text_sections_turns(spark, folder):
     return text.text_sections(star.read(spark, folder, "conversations"), "conv_id", "turn", separator="\n")

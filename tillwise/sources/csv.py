@@ -20,17 +20,11 @@ def _is_junk(name: str) -> bool:
     return "Unnamed:" in name or re.fullmatch(r"_c\d+", name) is not None
 
 
-def has_multiline_values(spark: SparkSession, path: str | list[str]) -> bool:
-    """Whether a quoted value spans lines: some line then has an odd number of quotes."""
-    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-
-
 def read_csv(
     spark: SparkSession,
     path: str | list[str],
     strict: bool = False,
-    multiline: bool | None = None,
+    multiline: bool = False,
     keep_malformed_text: bool = False,
 ) -> DataFrame:
     """All columns as text, under trimmed names, without junk columns and blank lines.
@@ -38,16 +32,18 @@ def read_csv(
     Only the header line is read to learn the columns; the data is read once,
     in parallel. A line with too few or too many fields stays, with what could
     be read of it (``keep_malformed_text`` adds the line as ``_malformed``),
-    unless ``strict``, which fails. Files are split for parallel reading where
-    no quoted value spans lines; ``multiline=None`` finds out, True or False
-    skips the search.
+    unless ``strict``, which fails. An open quote ends with its line and costs
+    that line only; quoted values that really span lines are the caller's to
+    announce with ``multiline=True``, which reads each file in one task. Files
+    whose header differs from the first one's are refused, not read by
+    position: read them one by one and unite them by name.
     """
-    if multiline is None:
-        multiline = has_multiline_values(spark, path)
     header = _header(spark, path)
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+    # A header with nameless columns cannot be compared with the names that Spark makes up for them.
+    nameless = any(re.fullmatch(r"_c\d+", name) for name in header)
     reader = spark.read.options(
-        header=True, escape='"', multiLine=multiline, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
+        enforceSchema=nameless, header=True, escape='"', multiLine=multiline, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT
     )
     if strict or keep_malformed_text:
         # Otherwise a line is not checked as a whole when a query reads some of its columns only.

@@ -169,7 +169,7 @@ def tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def marked_up_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as insight texts: each sentence a line, by turns a heading, bullets, text and a blank line."""
+    """Documents as insight texts: each sentence a line, by turns a heading, bullets, text, and text after a blank line."""
 
     def line(sentence: Column, i: Column) -> Column:
         number = F.floor(i / 6) + 1
@@ -180,7 +180,7 @@ def marked_up_documents(spark: SparkSession, folder: str) -> DataFrame:
             .when(turn == 2, F.concat(F.lit("- **Key**: "), sentence))
             .when(turn == 3, sentence)
             .when(turn == 4, F.concat(F.lit("Note: "), sentence))
-            .otherwise(F.lit(""))
+            .otherwise(F.concat(F.lit("\n"), sentence))
         )
 
     sentences = F.split("text", r"\. ")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillwise.schemas import CANONICAL, TABLES, empty_table
+from tillwise.schemas import CANONICAL, RENAMES, TABLES, empty_table
 from tillwise.sources.conform import conform, to_dialect
 from tillwise.sources.csv import read_csv, write_csv
 from tillwise.sources.validate import SchemaError, table_problems
@@ -100,38 +101,24 @@ def with_empty(spark: SparkSession, tables: Mapping[str, DataFrame]) -> dict[str
     return {t: tables[t] if t in tables else empty_table(spark, t) for t in TABLES}
 
 
-def save_session(tables: Mapping[str, DataFrame], folder: str, session_id: str) -> None:
-    """Store tables under a session key, one Parquet table each, a partition per session.
+def _session_path(folder: str, table: str, session_id: str) -> str:
+    return f"{folder.rstrip('/')}/{table}/session_id={quote(session_id, safe='')}"
 
-    A session saved again replaces its own partition and no other.
-    """
-    for table, df in tables.items():
-        (
-            df.withColumn("session_id", F.lit(session_id))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("session_id")
-            .parquet(f"{folder.rstrip('/')}/{table}")
-        )
+
+def save_session(tables: Mapping[str, DataFrame], folder: str, session_id: str) -> None:
+    """Store a session: all four tables, those not given as empty ones, in place of whatever the session held before."""
+    spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
+    for table, df in with_empty(spark, tables).items():
+        # In canonical types, which loading relies on; a value that does not fit is an error here, not a loss.
+        conform(df, table, strict=True).write.mode("overwrite").parquet(_session_path(folder, table, session_id))
 
 
 def load_session(spark: SparkSession, folder: str, session_id: str) -> dict[str, DataFrame]:
-    """The tables of one session; the key prunes all other partitions before anything is read."""
-    found = {}
-    for table in TABLES:
-        path = f"{folder.rstrip('/')}/{table}"
-        if _exists(spark, path):
-            every = spark.read.option("basePath", path).schema(_session_schema(spark, path)).parquet(path)
-            found[table] = every.where(F.col("session_id") == session_id).drop("session_id")
-    if not found:
+    """The four tables of one session, from its own folders only; an error if there is no such session."""
+    paths = {table: _session_path(folder, table, session_id) for table in TABLES}
+    if not all(_exists(spark, path) for path in paths.values()):
         raise NoData(f"no session {session_id!r} in {folder}")
-    return found
-
-
-def _session_schema(spark: SparkSession, path: str):
-    # The key stays text: partition discovery would turn "007" into a number.
-    schema = spark.read.parquet(path).schema
-    return T.StructType([f for f in schema.fields if f.name != "session_id"]).add("session_id", "string")
+    return {table: spark.read.schema(CANONICAL[table]).parquet(path) for table, path in paths.items()}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -142,8 +129,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def load_session_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A session kept as one JSON document holding four lists of records."""
-    lists = T.StructType([T.StructField(t, T.ArrayType(s)) for t, s in CANONICAL.items()])
+def load_session_json(spark: SparkSession, path: str, dialect: str = "pos", strict: bool = False) -> dict[str, DataFrame]:
+    """A session kept as one JSON document holding four lists of records under a dialect's names."""
+
+    renames = RENAMES.get(dialect, {})
+
+    def record(table: str) -> T.StructType:
+        names = dict.fromkeys([*renames.get(table, {}), *CANONICAL[table].fieldNames()])
+        return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+    def rows(bundle: DataFrame, table: str) -> DataFrame:
+        df = bundle.select(F.inline(table))
+        for own, canonical in renames.get(table, {}).items():
+            df = df.withColumn(canonical, F.coalesce(own, canonical)).drop(own)
+        return conform(df, table, dialect, strict)
+
+    lists = T.StructType([T.StructField(t, T.ArrayType(record(t))) for t in TABLES])
     bundle = spark.read.schema(lists).option("multiLine", True).json(path)
-    return {t: bundle.select(F.inline(t)) for t in TABLES}
+    return {t: rows(bundle, t) for t in TABLES}
