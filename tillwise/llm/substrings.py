@@ -139,7 +139,7 @@ def rows_of(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def _row_hash(rows: np.ndarray) -> np.ndarray:
-    words = np.ascontiguousarray(rows).view(U).reshape(len(rows), -1)
+    words = np.ascontiguousarray(rows).view(U).reshape(len(rows), rows.shape[1] // 8)
     h = np.zeros(len(rows), dtype=U)
     for c in range(words.shape[1]):
         h = (h ^ words[:, c]) * U(0x9E3779B97F4A7C15)
@@ -303,7 +303,8 @@ def _spans_batch(key, tag, begin, end, n_buckets: int) -> pa.RecordBatch:
     key, tag, begin, end = key[order], tag[order], begin[order], end[order]
     cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])])) if len(key) else key
     keys, tags, out, offsets = key[cut], tag[cut], [], [0]
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(key)], strict=True):
+    ends = np.append(cut[1:], len(key))[: len(cut)]
+    for a, b in zip(cut.tolist(), ends.tolist(), strict=True):
         x, y = merged_spans(begin[a:b], end[a:b])
         out.append(np.stack([x, y], 1).ravel())
         offsets.append(offsets[-1] + 2 * len(x))
