@@ -20,7 +20,8 @@ through one place, so strings first meet by content:
     prefixes are updated where a suffix comes in between. Runs of suffixes
     with common prefixes of 50 or more are equal windows; windows of documents
     other than the run's smallest are covered.
-3.  Covered stretches go back to their document by key, and the text is cut.
+3.  Covered stretches go back to their document by key, many documents' in one
+    compressed block, and the text is cut.
 
 The transform's columns are kept in memory, a bucket at a time, not in files:
 buckets are sized to fit, and executors' own disks are not shared.
@@ -56,6 +57,8 @@ CONTEXT = (LENGTH - GRAM) // 2
 BLOCK_BYTES = 6 << 20
 # Text bytes that a bucket stands for. Its segments take about 3.5 times that before merging.
 BUCKET_BYTES = 8 << 20
+# Text bytes whose spans meet in a task: at most a few times 28 bytes for each 50 of them.
+PART_BYTES = 64 << 20
 NO_KEY = np.iinfo(np.int64).max
 U = np.uint64
 
@@ -297,50 +300,74 @@ def merged_spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.nda
     return begin[first], end[np.append(first[1:], len(end)) - 1]
 
 
-def _spans_batch(key, tag, begin, end, n_buckets: int) -> pa.RecordBatch:
-    """A row for each document: its spans as pairs of numbers, dealt out by the document."""
-    order = np.lexsort((begin, tag, key))
-    key, tag, begin, end = key[order], tag[order], begin[order], end[order]
-    cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])])) if len(key) else key
-    keys, tags, out, offsets = key[cut], tag[cut], [], [0]
-    ends = np.append(cut[1:], len(key))[: len(cut)]
-    for a, b in zip(cut.tolist(), ends.tolist(), strict=True):
-        x, y = merged_spans(begin[a:b], end[a:b])
-        out.append(np.stack([x, y], 1).ravel())
-        offsets.append(offsets[-1] + 2 * len(x))
-    spans = pa.ListArray.from_arrays(
-        pa.array(np.array(offsets, dtype=np.int32)), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
-    )
-    n = len(keys)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array((_mix(keys.astype(U)) % U(n_buckets)).astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(keys),
-            pa.array(tags), spans,
-        ],
-        ["bucket", "block", "key", "tag", "spans"],
-    )
+def by_document(key, tag, begin, end) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of many documents, in order of documents, joined where they touch."""
+    order = np.lexsort((tag, key))
+    key, tag = key[order], tag[order]
+    opens = np.ones(len(order), dtype=bool)
+    opens[1:] = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])
+    # Places beyond any text's end keep the documents apart.
+    shift = (np.cumsum(opens) - 1) << 33
+    x, y = merged_spans(begin[order].astype(np.int64) + shift, end[order].astype(np.int64) + shift)
+    of = np.flatnonzero(opens)[x >> 33]
+    return key[of], tag[of], x - shift[of], y - shift[of]
+
+
+def _squeeze(arrays, level: int) -> bytes:
+    out = io.BytesIO()
+    for x in arrays:
+        np.save(out, x)
+    return zstandard.ZstdCompressor(level=level).compress(out.getvalue())
+
+
+def _unsqueeze(block: bytes, n: int) -> list[np.ndarray]:
+    raw = io.BytesIO(zstandard.ZstdDecompressor().decompress(block))
+    return [np.load(raw) for _ in range(n)]
+
+
+def _pack_spans(key, tag, begin, end, n_parts: int) -> tuple[np.ndarray, list[bytes]]:
+    """Spans dealt out by their document, a compressed block for each part that has some."""
+    if not len(key):
+        return np.zeros(0, dtype=np.int32), []
+    key, tag, begin, end = by_document(key, tag, begin, end)
+    part = (_mix(key.astype(U) ^ _mix(tag.astype(U))) % U(n_parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], part[order][1:] != part[order][:-1], [True]]))
+    blocks = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        o = order[a:b]
+        blocks.append(_squeeze((np.diff(key[o], prepend=0), tag[o], begin[o], end[o] - begin[o]), 3))
+    return part[order][cuts[:-1]], blocks
+
 
+def _unpack_spans(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """key, tag, begin, end of all blocks"""
+    parts = [_unsqueeze(b.as_py(), 4) for b in column if b.is_valid]
+    key, tag, begin, size = (np.concatenate([np.zeros(0, np.int64), *x]) for x in ([p[i] for p in parts] for i in range(4)))
+    if parts:
+        key = np.concatenate([np.cumsum(p[0]) for p in parts])
+    return [key, tag, begin, begin + size]
 
-SPAN_ROWS = "bucket int, block binary, key bigint, tag bigint, spans array<bigint>"
+
+SPAN_ROWS = "bucket int, block binary, spans binary"
 
 
 def _pack(rows, size, at, text, key, tag, begin) -> bytes:
     """Segments in order of their texts, each once for each occurrence in its smallest document, compressed."""
     opens = np.ones(len(text), dtype=bool)
     opens[1:] = text[1:] != text[:-1]
-    out = io.BytesIO()
-    for x in (
-        rows, size.astype(np.uint8), at.astype(np.uint8), opens, np.diff(key[opens], prepend=0),
-        tag[opens].astype(np.int32), begin,
-    ):
-        np.save(out, x)
-    return zstandard.ZstdCompressor(level=6).compress(out.getvalue())
+    return _squeeze(
+        (
+            rows, size.astype(np.uint8), at.astype(np.uint8), opens, np.diff(key[opens], prepend=0),
+            tag[opens].astype(np.int32), begin,
+        ),
+        6,
+    )
 
 
 def _unpack(block: bytes) -> list[np.ndarray]:
     """rows, size, at, key, tag, begin"""
-    raw = io.BytesIO(zstandard.ZstdDecompressor().decompress(block))
-    rows, size, at, opens, key, tag, begin = [np.load(raw) for _ in range(7)]
+    rows, size, at, opens, key, tag, begin = _unsqueeze(block, 7)
     of = np.cumsum(opens) - 1
     return [rows, size.astype(np.int64), at.astype(np.int64), np.cumsum(key)[of], tag[of].astype(np.int64), begin]
 
@@ -362,7 +389,11 @@ def _blocks(n_buckets: int):
         late = seg_key[order] > seg_key[lead][group]
         gone = order[late]
         if len(gone):
-            yield _spans_batch(seg_key[gone], seg_tag[gone], begin[gone], begin[gone] + size[gone], n_buckets)
+            known, spans = _pack_spans(seg_key[gone], seg_tag[gone], begin[gone], begin[gone] + size[gone], n_buckets)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(known), pa.nulls(len(known), pa.binary()), pa.array(spans, pa.binary())],
+                ["bucket", "block", "spans"],
+            )
         stay = np.sort(order[~late])
         gram = np.zeros((len(stay), 16), dtype=np.uint8)
         for i in range(GRAM):
@@ -376,13 +407,12 @@ def _blocks(n_buckets: int):
             s = stay[a:b]
             numbers.append(int(bucket[a]))
             blocks.append(_pack(rows[s], size[s], at[s], text[s], seg_key[s], seg_tag[s], begin[s].astype(np.int32)))
-        n = len(numbers)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.array(numbers, dtype=np.int32)), pa.array(blocks, pa.binary()), pa.nulls(n, pa.int64()),
-                pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())),
+                pa.array(np.array(numbers, dtype=np.int32)), pa.array(blocks, pa.binary()),
+                pa.nulls(len(numbers), pa.binary()),
             ],
-            ["bucket", "block", "key", "tag", "spans"],
+            ["bucket", "block", "spans"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,14 +436,23 @@ def _blocks(n_buckets: int):
     return run
 
 
-def _solve(table: pa.Table) -> pa.Table:
-    """All blocks of a bucket to spans; rows that have spans already pass through."""
-    known = table.filter(pc.is_valid(table.column("spans"))).select(["key", "tag", "spans"])
-    parts = [_unpack(b.as_py()) for b in table.column("block") if b.is_valid]
+def _solve(n_parts: int):
+    """All blocks of a bucket to spans, which go on with the spans known already, dealt out by document."""
+
+    def solve(table: pa.Table) -> pa.Table:
+        spans = [_unpack_spans(table.column("spans")), *_found([_unpack(b.as_py()) for b in table.column("block") if b.is_valid])]
+        parts, blocks = _pack_spans(*(np.concatenate(x) for x in zip(*spans, strict=True)), n_parts)
+        return pa.table({"part": pa.array(parts), "spans": pa.array(blocks, pa.binary())})
+
+    return solve
+
+
+def _found(parts: list[list[np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
+    """key, tag, begin, end of what a bucket's segments show to be covered."""
     if not parts:
-        return known
+        return []
     rows, size, at, key, tag, begin = (np.concatenate(x) for x in zip(*parts, strict=True))
-    del parts
+    parts.clear()  # twice as much memory otherwise
     order, opens = merge_equal(rows, size, key)
     group = np.empty(len(order), dtype=np.int64)
     group[order] = np.cumsum(opens) - 1
@@ -433,8 +472,17 @@ def _solve(table: pa.Table) -> pa.Table:
         o = owners[which]
         start = begin[o] + np.repeat(place, times)
         found.append((key[o], tag[o], start, start + LENGTH))
-    batch = _spans_batch(*(np.concatenate(x) for x in zip(*found, strict=True)), 1)
-    return pa.concat_tables([known, pa.Table.from_batches([batch]).select(["key", "tag", "spans"]).cast(known.schema)])
+    return found
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """A row for each document: its spans as pairs of numbers."""
+    key, tag, begin, end = by_document(*_unpack_spans(table.column("spans")))
+    opens = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])]))
+    spans = pa.ListArray.from_arrays(
+        pa.array(2 * np.append(opens, len(key)).astype(np.int32)), pa.array(np.stack([begin, end], 1).ravel())
+    )
+    return pa.table({"key": pa.array(key[opens]), "tag": pa.array(tag[opens]), "spans": spans})
 
 
 def _tag(text: Column) -> Column:
@@ -443,7 +491,7 @@ def _tag(text: Column) -> Column:
 
 def covered_spans(df: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``key`` (null as the largest number), ``tag`` (a hash of the text, to tell rows of one key apart), ``spans``
-    (begin, end, begin, …; several rows for a document may overlap)."""
+    (begin, end, begin, …): one row for each document that loses something."""
     rows = df.select(
         F.coalesce(F.col(f"`{key}`").cast("bigint"), F.lit(int(NO_KEY))).alias("key"),
         _tag(F.col(f"`{text}`")).alias("tag"),
@@ -452,7 +500,10 @@ def covered_spans(df: DataFrame, key: str = "doc_id", text: str = "text", bucket
     total = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0  # one number
     n_buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
     dealt = rows.mapInArrow(_blocks(n_buckets), SPAN_ROWS)
-    return dealt.groupBy("bucket").applyInArrow(_solve, "key bigint, tag bigint, spans array<bigint>")
+    # A document's spans come from many buckets: they travel in blocks, not a row each.
+    n_parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
+    solved = dealt.groupBy("bucket").applyInArrow(_solve(n_parts), "part int, spans binary")
+    return solved.groupBy("part").applyInArrow(_gather, "key bigint, tag bigint, spans array<bigint>")
 
 
 def _cut(with_bytes: bool):
@@ -467,8 +518,8 @@ def _cut_batches(batches: Iterator[pa.RecordBatch], with_bytes: bool) -> Iterato
             data = text.as_buffer().to_pybytes() if text.is_valid else b""
             pairs = np.array([], dtype=np.int64)
             if spans.is_valid:
-                pairs = np.concatenate([np.asarray(s.values) for s in spans.values if s.is_valid] or [pairs])
-            begin, end = (merged_spans(pairs[::2], pairs[1::2]) if len(pairs) else (pairs, pairs))
+                pairs = np.asarray(spans.values)
+            begin, end = pairs[::2], pairs[1::2]
             left = b"".join(
                 data[a:b] for a, b in zip([0, *end.tolist()], [*begin.tolist(), len(data)], strict=True)
             )
@@ -493,13 +544,9 @@ def remove_repeats(
 
     What is left need not be UTF-8: a cut may fall inside a character.
     """
-    # The spans of a document come together in one row; a text has at most one span for each 50 bytes and bucket.
     # The blocks of segments are larger than the texts: they go before the texts are shuffled.
     with shuffles_cleaned(df.sparkSession):
-        spans = stored(
-            covered_spans(df, key, text, bucket_bytes).groupBy("key", "tag").agg(F.collect_list("spans").alias("spans")),
-            "spans",
-        ).toDF("_k", "_t", "spans")
+        spans = stored(covered_spans(df, key, text, bucket_bytes), "spans").toDF("_k", "_t", "spans")
     rows = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     joined = rows.join(
         spans,
