@@ -1,7 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary texts, and
-one on the same plus what toxic texts have and ordinary ones lack. A window of
+Two dictionaries are made: zstandard trains one on windows of ordinary texts;
+the other is the same one followed by beginnings of words that toxic texts have
+and ordinary ones lack, picked by document frequency and log-odds. (Not the
+dealt method, which trains both; README says what was measured.) A window of
 a text that the toxic dictionary compresses shorter than the ordinary one
 speaks for toxicity. Thresholds on that gain are counted over all windows of
 the whole text, and a logistic curve, fitted to labelled rows, makes the counts
