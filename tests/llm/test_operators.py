@@ -211,6 +211,19 @@ def test_shards(spark, docs):
     assert all(sorted(one.slot) == list(range(len(one))) for _, one in many.groupby("shard"))
 
 
+def test_sharding_passes_whole_rows(spark, docs, monkeypatch, tmp_path):
+    dealt = []
+    whole = sharding.shard
+    monkeypatch.setattr(sharding, "shard", lambda df, *a, **k: dealt.append(df.columns) or whole(df, *a, **k))
+    QUERIES["op10_sharding"](spark, FOLDER)
+    assert dealt == [docs.columns]
+    sharding.write_shards(docs, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.select(*docs.columns).exceptAll(docs).isEmpty() and back.count() == docs.count()
+    got = {r.doc_id: (r.shard, r.slot) for r in QUERIES["op10_sharding"](spark, FOLDER).collect()}
+    assert {r.doc_id: (r._shard, r._slot) for r in back.select("doc_id", "_shard", "_slot").collect()} == got
+
+
 def test_poisson_mean_and_targets(spark):
     df = spark.range(20_000).select(mixing.poisson(F.lit(40.5), F.col("id")).alias("n"))
     mean, var = df.agg(F.avg("n"), F.variance("n")).first()

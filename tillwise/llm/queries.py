@@ -63,14 +63,14 @@ def op9_mixing(spark, sf_dir):
 
 @query
 def op10_sharding(spark, sf_dir):
-    size = (F.octet_length(text_or_empty()) + 1).cast("bigint")
-    rows = documents(spark, sf_dir).select(
-        "doc_id", size.alias("size"), F.crc32(F.encode(text_or_empty(), "UTF-8")).alias("crc")
-    )
-    return sharding.shard(rows).select(
-        F.col("row.c0").alias("doc_id"),
-        F.col("row.c1").alias("size"),
-        F.col("row.c2").alias("text_crc32"),
+    docs = documents(spark, sf_dir)
+    # Whole documents go through both passes; the digests are of the texts that come out.
+    out = {c: F.col(f"row.c{i}") for i, c in enumerate(docs.columns)}
+    text = F.coalesce(out["text"], F.lit(""))
+    return sharding.shard(docs, size=F.octet_length(text_or_empty()) + 1).select(
+        out["doc_id"].alias("doc_id"),
+        (F.octet_length(text) + 1).cast("bigint").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.lit("key").alias("law"),
         "shard",
         "slot",

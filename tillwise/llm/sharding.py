@@ -1,7 +1,7 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one scatters rows over the buckets of their shards by seeded hashes and
-writes them, so that a bucket fits in a task's memory. Pass two reads one
+Pass one scatters whole rows over the buckets of their shards by seeded hashes
+and writes them, so that a bucket fits in a task's memory. Pass two reads one
 bucket at a time, permutes it by Fisher-Yates (``shuffle``, which swaps inside
 an array of the bucket's rows) and puts buckets behind one another: a uniformly
 random order of the whole that never holds more than a bucket.
