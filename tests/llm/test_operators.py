@@ -224,6 +224,19 @@ def test_sharding_passes_whole_rows(spark, docs, monkeypatch, tmp_path):
     assert {r.doc_id: (r._shard, r._slot) for r in back.select("doc_id", "_shard", "_slot").collect()} == got
 
 
+def test_rows_of_one_key_spread_over_buckets(spark, monkeypatch):
+    rows = [(None if i % 3 else i, f"text {i} " * 20) for i in range(600)] + [(7, "same " * 30)] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    scratch, buckets = sharding.scratch_path, []
+    monkeypatch.setattr(sharding, "scratch_path", lambda s, label: buckets.append(scratch(s, label)) or buckets[-1])
+    got = sharding.shard(df, bucket_bytes=8_000).toPandas()
+    assert len(got) == len(rows)
+    assert all(sorted(one.slot) == list(range(len(one))) for _, one in got.groupby("shard"))
+    assert got.groupby("key", dropna=False).shard.nunique().max() == 1
+    written = spark.read.parquet(buckets[0]).groupBy("shard", "bucket").count()
+    assert written.agg(F.max("count")).first()[0] < 120
+
+
 def test_poisson_mean_and_targets(spark):
     df = spark.range(20_000).select(mixing.poisson(F.lit(40.5), F.col("id")).alias("n"))
     mean, var = df.agg(F.avg("n"), F.variance("n")).first()

@@ -10,23 +10,33 @@ The law is ``key``: a row's shard follows from its key and the number of shards
 alone, as the shard whose hash with the key is highest. One more shard takes
 the rows for which its own hash is highest and no other row moves.
 
-Keys may be null (one key like any other) and repeated; repeated rows of one
-key fall into one bucket. Texts may be null or empty (size 1, CRC 0). Equal
-texts under different keys scatter like any rows. An empty table gives an empty
-result. Columns may have any names; the row travels as a struct.
+The bucket inside the shard follows from the key and the row's content, so rows
+of one key spread over all buckets of their shard. Each shard has as many
+buckets as its own bytes ask for. Identical rows that would overfill a bucket
+are dealt over the buckets by their row number in the input; which of them goes
+where makes no difference, but how many meet the other rows of a bucket, and
+with it the order inside that shard, then depends on the input's layout.
+
+Keys may be null (one key like any other) and repeated. Texts may be null or
+empty (size 1, CRC 0). Equal texts under different keys scatter like any rows.
+An empty table gives an empty result. Columns may have any names; the row
+travels as a struct.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-from tillwise.llm.common import hash_int, scratch_path, text_or_empty
+from tillwise.llm.common import hash_int, scratch_path, stored, text_or_empty
 
 SHARDS = 8
 SEED = 811
 # A bucket is one task's array in pass two.
 BUCKET_BYTES = 32 << 20
+# What a row takes beside its texts.
+ROW_BYTES = 64
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -38,26 +48,47 @@ def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.array_max(weights)["s"]
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row's texts and nested values."""
+    size = F.lit(0)
+    for field in df.schema.fields:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (ArrayType, MapType, StructType)):
+            size += F.coalesce(F.octet_length(F.to_json(value)), F.lit(0))
+        elif isinstance(field.dataType, (StringType, BinaryType)):
+            size += F.coalesce(F.octet_length(value), F.lit(0))
+    return size
+
+
 def shard(
     df: DataFrame, key: str = "doc_id", size: Column | None = None, shards: int = SHARDS, seed: int = SEED,
     bucket_bytes: int = BUCKET_BYTES,
 ) -> DataFrame:
     """Each row of ``df`` as struct ``row``, with its ``key``, ``shard`` and ``slot`` (0, 1, … inside the shard).
 
-    ``size`` is a row's bytes, from which the number of buckets follows.
+    ``size`` is a row's bytes, from which the number of buckets follows; by default those of its own columns.
     """
     spark = df.sparkSession
-    size = F.lit(64) if size is None else size
+    size = row_bytes(df) if size is None else F.coalesce(size, F.lit(0))
     names = [f"c{i}" for i in range(len(df.columns))]
     row = F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)])
-    keyed = df.select(F.col(f"`{key}`").alias("key"), row.alias("row"), size.cast("bigint").alias("size"))
-    total = df.agg(F.sum(size)).first()[0] or 0  # one number
-    per_shard = max(1, -(-total // (shards * bucket_bytes)))
-    scattered = keyed.select(
-        "key",
-        "row",
-        shard_of(F.col("key"), shards, seed).alias("shard"),
-        (hash_int(F.lit(seed), F.lit("bucket"), F.col("key")) % per_shard).cast("int").alias("bucket"),
+    keyed = df.select(F.col(f"`{key}`").alias("key"), row.alias("row"), (size.cast("bigint") + ROW_BYTES).alias("size"))
+    keyed = keyed.withColumn("shard", shard_of(F.col("key"), shards, seed))
+    content = F.xxhash64(F.lit(seed), F.lit("bucket"), "key", "row")
+    # One number a shard.
+    per_shard = {r.shard: max(1, -(-r.size // bucket_bytes)) for r in keyed.groupBy("shard").agg(F.sum("size").alias("size")).collect()}
+    placed = keyed.withColumn("content", content).withColumn("salt", F.lit(0).cast("bigint"))
+    if max(per_shard.values(), default=1) > 1:
+        # Each takes a quarter of a bucket or more: at most four rows for each bucket, a bounded broadcast.
+        heavy = placed.groupBy("content").agg(F.sum("size").alias("size"), F.count("*").alias("n")).where(
+            (F.col("size") > bucket_bytes // 4) & (F.col("n") > 1)
+        )
+        heavy = stored(heavy.select("content", F.lit(True).alias("heavy")), "identical")
+        placed = placed.withColumn("salt", F.monotonically_increasing_id()).join(F.broadcast(heavy), "content", "left")
+        placed = placed.withColumn("salt", F.when(F.col("heavy"), F.col("salt")).otherwise(0))
+    counts = F.create_map(*[F.lit(x) for pair in per_shard.items() for x in pair]) if per_shard else F.create_map(F.lit(0), F.lit(1))
+    scattered = placed.select(
+        "key", "row", "shard", F.pmod(F.xxhash64("content", "salt"), counts[F.col("shard")]).cast("int").alias("bucket")
     )
     # Pass one. The written table is the external half: pass two, and any task run again, starts from it.
     path = scratch_path(spark, "scattered")
@@ -65,7 +96,8 @@ def shard(
     scattered = spark.read.schema(scattered.schema).parquet(path)
     # One row per bucket; a bucket's first slot is what lies before it in its shard.
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
+    # A bucket's rows never move for the lookup: its side is one row per bucket.
+    starts = F.broadcast(
         scattered.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
         .select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     )
