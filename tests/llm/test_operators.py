@@ -237,6 +237,24 @@ def test_rows_of_one_key_spread_over_buckets(spark, monkeypatch):
     assert written.agg(F.max("count")).first()[0] < 120
 
 
+def test_near_duplicates_keep_texts_without_a_key_of_their_own_apart(spark):
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    one, two, three = words(80), words(80), words(80)
+    near_one, near_two = [*one[:-1], "end"], [*two[:-1], "end"]
+    texts = [(1, one), (None, near_one), (None, words(80)), (None, words(80)), (5, words(80)), (5, two), (6, near_two),
+             (None, three), (None, [*three[:-1], "end"]), (2**63 - 1, words(80)), (-3, words(80)), (5, two)]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in texts], "doc_id long, text string")
+    rows = near.near_duplicates(df, width=5).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in rows) == Counter({
+        (1, 1, True): 1, (None, 1, False): 1, (None, None, True): 3, (None, None, False): 1, (5, 5, True): 3,
+        (6, 5, False): 1, (2**63 - 1, 2**63 - 1, True): 1, (-3, -3, True): 1,
+    })
+    left = Counter(tuple(r) for r in near.drop_near_duplicates(df).collect())
+    gone = Counter(tuple(r) for r in df.collect()) - left
+    assert {(None, " ".join(near_one)), (6, " ".join(near_two))} <= set(gone) and sum(gone.values()) == 3
+
+
 def test_poisson_mean_and_targets(spark):
     df = spark.range(20_000).select(mixing.poisson(F.lit(40.5), F.col("id")).alias("n"))
     mean, var = df.agg(F.avg("n"), F.variance("n")).first()

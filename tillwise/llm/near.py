@@ -21,14 +21,17 @@ Groups of copies never become pairs of copies:
 3 * 10^-6, and closer pairs less often.
 
 Null and empty texts and texts without a word have an empty set and link with
-nothing. A text of fewer words than a shingle is one shingle. Repeated rows
-(same key) are one document; null keys count as the largest. Other columns are
-not read.
+nothing. A text of fewer words than a shingle is one shingle. A document is a
+key with a text: rows that repeat both are one document, and different texts
+under one key, or under none, are documents of their own. Inside, the smallest
+key is thus the smallest pair of key and digest of the text; null keys count as
+the largest. Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +45,8 @@ BANDS, ROWS = 32, 5
 # Links need 100 * intersection >= 80 * union.
 PERCENT = 80
 SEED = 77
-NO_KEY = (1 << 63) - 1
+# The first bytes of a document's identity where it has no key: after all keys.
+NO_KEY = b"\xff" + bytes(8)
 U = np.uint64
 U32 = np.uint32
 # Text bytes hashed at a time.
@@ -161,12 +165,23 @@ def sketches(df: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 ["key", "n", "digest", "bands"],
             )
 
-    rows = df.select(_key(key).alias("key"), F.col(f"`{text}`").alias("text"))
-    return rows.mapInArrow(sketched, "key bigint, n bigint, digest binary, bands array<bigint>")
+    return _texts(df, key, text).mapInArrow(sketched, "key binary, n bigint, digest binary, bands array<bigint>")
 
 
-def _key(name: str) -> Column:
-    return F.coalesce(F.col(f"`{name}`").cast("bigint"), F.lit(NO_KEY))
+def _identity(key: str, text: str) -> Column:
+    """A document's identity: bytes that order like the key (nulls last), then the MD5 of the text."""
+    number = F.col(f"`{key}`").cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))
+    ordered = F.coalesce(F.unhex(F.concat(F.lit("00"), F.lpad(F.hex(number), 16, "0"))), F.lit(NO_KEY))
+    return F.concat(ordered, F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit("")))))
+
+
+def _key_of(identity: Column) -> Column:
+    number = F.conv(F.hex(F.substring(identity, 2, 8)), 16, 10).cast("decimal(20,0)") - F.lit(Decimal(1 << 63))
+    return F.when(F.substring(identity, 1, 1) == F.lit(b"\x00"), number.cast("bigint"))
+
+
+def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(_identity(key, text).alias("key"), F.col(f"`{text}`").alias("text"))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -196,7 +211,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             )
 
     joined = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(measured, "a bigint, b bigint, common bigint")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(measured, "a binary, b binary, common bigint")
 
 
 def linked(n_a: Column, n_b: Column, common: Column, percent: int = PERCENT) -> Column:
@@ -234,11 +249,22 @@ def near_duplicates(
     df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 2, percent: int = PERCENT
 ) -> DataFrame:
     """One row per row of ``df``: ``key``, ``n_shingles``, ``class_id`` (smallest key with the same set), ``component_id``, ``kept``."""
+    return judged(df, key, text, width, percent).select(
+        _key_of(F.col("key")).alias(key),
+        F.col("n").alias("n_shingles"),
+        _key_of(F.col("class")).alias("class_id"),
+        _key_of(F.col("component")).alias("component_id"),
+        (F.col("component") == F.col("key")).alias("kept"),
+    )
+
+
+def judged(df: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """``key``, ``n``, ``class``, ``component`` of each row; all but ``n`` are identities, and ``component`` is who stays."""
     whole = stored(sketches(df, key, text, width), "sketches")
     classes = stored(
         whole.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("rep")), "classes"
     )
-    # The sketch of each class's smallest key. (Repeated rows of a key are one.)
+    # The sketch of each class's smallest document. (Rows that repeat it are one.)
     reps = stored(
         whole.join(classes, ["digest"]).where("key = rep").groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands")),
         "representatives",
@@ -252,7 +278,7 @@ def near_duplicates(
     )
     possible = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
     star = stored(in_buckets.where("key <> head").where(possible).select(F.col("head").alias("a"), F.col("key").alias("b"), "head_n", "n").distinct(), "star")
-    texts = df.select(_key(key).alias("key"), F.col(f"`{text}`").alias("text"))
+    texts = _texts(df, key, text)
     needed = star.select("a").unionAll(star.select("b")).distinct().toDF("key")
     kept_texts = stored(texts.join(needed, "key", "left_semi").groupBy("key").agg(F.max("text").alias("text")), "candidates")
     overlaps = stored(confirm(star.select("a", "b"), kept_texts, width), "overlaps")
@@ -266,16 +292,10 @@ def near_duplicates(
         more = rest.join(more, ["a", "b"]).where(linked(F.col("n_a"), F.col("n_b"), F.col("common"), percent)).select("a", "b")
         found = components(stored(links.unionAll(more), "links"), "all")
     named = classes.join(found.withColumnRenamed("key", "rep"), "rep", "left").select(
-        "digest", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")
+        "digest", F.col("rep").alias("class"), F.coalesce("component", "rep").alias("component")
     )
-    out = whole.select("key", "n", "digest").join(stored(named, "named"), "digest", "left")
-    own = lambda c: F.nullif(F.coalesce(c, "key"), F.lit(NO_KEY))
-    return out.select(
-        F.nullif("key", F.lit(NO_KEY)).alias(key),
-        F.col("n").alias("n_shingles"),
-        own("class_id").alias("class_id"),
-        own("component_id").alias("component_id"),
-        F.coalesce(F.col("component_id") == F.col("key"), F.lit(True)).alias("kept"),
+    return whole.select("key", "n", "digest").join(stored(named, "named"), "digest", "left").select(
+        "key", "n", F.coalesce("class", "key").alias("class"), F.coalesce("component", "key").alias("component")
     )
 
 
@@ -318,8 +338,8 @@ def _across(in_buckets: DataFrame, overlaps: DataFrame, found: DataFrame, percen
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """``df`` without the documents whose component has a smaller key, columns as they were."""
-    judged = near_duplicates(df, key, text, width, percent).where("NOT kept").select(F.col(key).alias("k")).distinct()
+    """``df`` without the documents whose component has a smaller one, columns as they were."""
+    others = judged(df, key, text, width, percent).where("component <> key").select("key").distinct()
     gone = free_name(df, "_gone")
-    dropped = stored(judged, "near-duplicates").toDF(gone)
-    return df.join(dropped, F.col(f"`{key}`").eqNullSafe(F.col(gone)), "left_anti")
+    dropped = stored(others, "near-duplicates").toDF(gone)
+    return df.join(dropped, _identity(key, text) == F.col(gone), "left_anti")
