@@ -101,3 +101,76 @@ near AS (SELECT t.doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, coalesce(r
 ORACLE["op6_minhash"] = "WITH RECURSIVE " + _NEAR.format(table="documents", width=2) + """
 SELECT *, component_id = doc_id AS kept FROM near
 """
+
+# CRC-32 by its definition, a byte at a time; ``crc_of`` is the checksum of each byte.
+_CRC = """
+crc_bits AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(
+    list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384 * (x & 1)) + z)) AS crc_of)
+"""
+
+ORACLE["op12_importance_resampling"] = rf"""
+WITH {_CRC},
+texts AS (
+  SELECT 0 AS kind, row_number() OVER () AS row_no, doc_id, text FROM documents
+  UNION ALL SELECT 1, item_id, item_id, text FROM benchmark),
+words AS (
+  SELECT kind, row_no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+grams AS (
+  SELECT kind, row_no, unnest(list_concat(w, list_concat(
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS g FROM words),
+buckets AS (
+  SELECT g, xor(list_reduce(
+    list_prepend(4294967295, list_transform(range(octet_length(encode(g))), lambda i: ('0x' || substr(hex(encode(g)), 2 * i + 1, 2))::BIGINT)),
+    lambda x, b: xor(x >> 8, crc_of[(xor(x, b) & 255) + 1])), 4294967295) % 10000 AS b
+  FROM (SELECT DISTINCT g FROM grams), crc_bits),
+placed AS (SELECT kind, row_no, b FROM grams JOIN buckets USING (g)),
+counts AS (SELECT b, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM placed GROUP BY b),
+gains AS (
+  SELECT b, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM counts),
+weights AS (SELECT row_no, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM placed JOIN gains USING (b) WHERE kind = 0 GROUP BY row_no),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score
+  FROM words LEFT JOIN weights USING (row_no) WHERE kind = 0),
+ranked AS (
+  SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) END AS place,
+    count(*) FILTER (n_words >= 20) OVER () AS fit FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * fit // 100 THEN place END AS rank FROM ranked
+"""
+
+ORACLE["op13_prefix_trie"] = f"""
+WITH {_CRC},
+ordered AS (
+  SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+hashed AS (
+  SELECT conv_id, turns, xor(list_reduce(
+    list_prepend(4294967295, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda x, b: xor(x >> 8, crc_of[(xor(x, b) & 255) + 1])), 4294967295) % 6 AS h
+  FROM ordered, crc_bits),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.turns[1 : c.h], []), c.turns[c.h + 1 :]) AS turns
+  FROM hashed c LEFT JOIN ordered b ON b.conv_id = c.conv_id - c.conv_id % 100),
+starts AS (
+  SELECT conv_id, len(turns) AS size, d AS depth, turns[1 : d] AS path
+  FROM rebuilt, LATERAL (SELECT unnest(range(len(turns) + 1)) AS d)),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (size = depth), '')) AS ends_sha256
+  FROM starts GROUP BY path, depth),
+children AS (SELECT path[1 : depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+whole AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN n.depth > 0 THEN (n_convs - 1) * length(n.path[n.depth].t) ELSE 0 END AS own
+  FROM nodes n LEFT JOIN children c ON c.path = n.path),
+below AS (
+  SELECT w.path[1 : d] AS path, sum(own) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM whole w, LATERAL (SELECT unnest(range(w.depth + 1)) AS d) GROUP BY 1)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, b.n_leaves,
+  b.saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+FROM whole w JOIN below b ON b.path = w.path LEFT JOIN nodes p ON w.depth > 0 AND p.path = w.path[1 : w.depth - 1]
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tillwise.llm import exact, mixing, near, private, quality, sampling, sharding, substrings, tokens, toxicity
+from tillwise.llm import exact, importance, mixing, near, private, quality, sampling, sharding, substrings, tokens, toxicity, trie
 from tillwise.llm.common import documents, text_or_empty
 
 QUERIES = {}
@@ -83,6 +83,17 @@ def op4_pii(spark, sf_dir):
     return private.pseudonymise(documents(spark, sf_dir))
 
 
+@query
+def op12_importance_resampling(spark, sf_dir):
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    talks = trie.conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return trie.prefix_trie(trie.rebuilt(talks))
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
