@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tillwise.llm import exact, importance, mixing, near, private, quality, sampling, sharding, substrings, tokens, toxicity, trie
+from tillwise.llm import (
+    exact, extraction, importance, mixing, near, private, quality, sampling, sharding, substrings, tokens, toxicity, trie,
+)
 from tillwise.llm.common import documents, text_or_empty
 
 QUERIES = {}
@@ -83,6 +85,11 @@ def op4_pii(spark, sf_dir):
     return private.pseudonymise(documents(spark, sf_dir))
 
 
+@query
+def op11_html_extraction(spark, sf_dir):
+    return extraction.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @query
 def op12_importance_resampling(spark, sf_dir):
     return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
