@@ -111,7 +111,7 @@ def tag_counts(pages: DataFrame) -> DataFrame:
                 continue
             host, weight = host.as_py(), _number(page)
             seen: dict[int, list[int]] = {0: [1, 0]}
-            for place, (tag, block) in enumerate(roles(reader.events(page), set(skeleton.as_py() or ()))):
+            for place, (tag, block) in enumerate(roles(reader.events(page, texts=False), set(skeleton.as_py() or ()))):
                 if block is None:
                     seen.setdefault(tag, [0, place])[0] += 1
             for tag, (n, place) in seen.items():
@@ -317,8 +317,8 @@ def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "
         F.coalesce(F.col(f"`{page}`"), F.lit("")).alias("page"),
     )
     no_tags = F.lit(None).cast("array<bigint>")
-    skeleton = stored(skeletons(tag_counts(pages.withColumn("skeleton", no_tags))), "skeletons")
-    told_apart = tag_counts(pages.join(skeleton, "host"))
+    skeleton = stored(skeletons(stored(tag_counts(pages.withColumn("skeleton", no_tags)), "tag-counts")), "skeletons")
+    told_apart = stored(tag_counts(pages.join(skeleton, "host")), "tag-counts")
     candidates = stored(classes(told_apart).join(skeleton, "host"), "classes")
     counts = stored(slot_counts(pages, candidates), "slots")
     found = stored(templates(candidates, counts), "templates")

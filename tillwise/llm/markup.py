@@ -114,10 +114,10 @@ class Reader:
         self._labels[(name, more)] = known
         return known
 
-    def events(self, page: str) -> Iterator[tuple[int, tuple[list[str], int, bool] | None]]:
+    def events(self, page: str, texts: bool = True) -> Iterator[tuple[int, tuple[list[str], int, bool] | None]]:
         """``(number, None)`` for a block-level tag, ``(0, (words, words in links, in the main text))`` for a text block.
 
-        Text inside furniture makes no event.
+        Text inside furniture makes no event; without ``texts`` none does.
         """
         root = Element("", 0, False, False, False, False)
         stack = [root]
@@ -137,7 +137,7 @@ class Reader:
             mark = _MARK.search(page, at)
             text = page[at : mark.start() if mark else len(page)]
             top = stack[-1]
-            if text and not top.furniture and not top.header:
+            if texts and text and not top.furniture and not top.header:
                 text = html.unescape(text) if "&" in text else text
                 pieces.append(text)
                 if top.link:
@@ -187,9 +187,10 @@ class Reader:
             stack.append(
                 Element(name, path, top.furniture or furniture, top.main or main, top.link or name == "a", header)
             )
-        words = flushed()
-        if words[0]:
-            yield 0, words
+        if pieces:
+            words = flushed()
+            if words[0]:
+                yield 0, words
 
     @staticmethod
     def _close(stack: list[Element], names: str, until: str) -> None:
