@@ -301,13 +301,26 @@ def main_words(events, template: tuple[dict, dict]) -> list[str]:
     found = []
     for slot, blocks in _slots(events, tags):
         menu, fixed, start, end = slots.get(slot, (False, False, 0, 0))
-        if fixed:
-            continue
-        words = [(w, main) for block, _, main in blocks for w in block]
-        found.append((menu, words[start : len(words) - end if end < len(words) - start else start]))
-    if any(main for _, words in found for _, main in words):
-        return [w for _, words in found for w, main in words if main]
-    return [w for menu, words in found for w, _ in words if not menu]
+        if not fixed:
+            if start or end:
+                blocks = _trimmed(blocks, start, end)
+            found.append((menu, blocks))
+    if any(main for _, blocks in found for _, _, main in blocks):
+        return [w for _, blocks in found for words, _, main in blocks if main for w in words]
+    return [w for menu, blocks in found if not menu for words, _, _ in blocks for w in words]
+
+
+def _trimmed(blocks: list[tuple], start: int, end: int) -> list[tuple]:
+    """A slot's blocks without its first ``start`` and last ``end`` words."""
+    size = sum(len(words) for words, _, _ in blocks)
+    first, last = start, max(start, size - end)
+    out, at = [], 0
+    for words, links, main in blocks:
+        part = words[max(0, first - at) : max(0, last - at)]
+        at += len(words)
+        if part:
+            out.append((part, links, main))
+    return out
 
 
 def extract(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:

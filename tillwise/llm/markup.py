@@ -19,14 +19,19 @@ BLOCKS = frozenset(
 )
 # A new one of these ends an open one, unless one of the second group stands between.
 CLOSES = {
-    "li": ("li", "ul ol menu dir"),
-    "dt": ("dt dd", "dl"),
-    "dd": ("dt dd", "dl"),
-    "tr": ("tr td th", "table"),
-    "td": ("td th", "tr table"),
-    "th": ("td th", "tr table"),
-    "option": ("option", "select"),
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "option": ({"option"}, {"select"}),
 }
+# Any block ends an open paragraph, unless one of these stands between.
+PARAGRAPH = (
+    {"p"},
+    set("article aside body button details dialog div fieldset figure form main nav section table td ul ol".split()),
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RAW = frozenset("script style iframe noembed noframes xmp textarea title".split())
 FURNITURE = frozenset(
@@ -167,7 +172,7 @@ class Reader:
                 continue
             more = mark["more"]
             if block:
-                self._close(stack, "p", "article aside body button details dialog div fieldset figure form main nav section table td ul ol")
+                self._close(stack, *PARAGRAPH)
             if name in CLOSES:
                 self._close(stack, *CLOSES[name])
             top = stack[-1]
@@ -193,9 +198,8 @@ class Reader:
                 yield 0, words
 
     @staticmethod
-    def _close(stack: list[Element], names: str, until: str) -> None:
+    def _close(stack: list[Element], names: set[str], until: set[str]) -> None:
         """Ends the innermost open element of these names, and what is open inside it."""
-        names, until = names.split(), until.split()
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].name in names:
                 del stack[i:]
