@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tillwise.operators.ordering import scratch_path, shared_folder, stored
 
-__all__ = ["BLANKS", "documents", "free_name", "hash_int", "scratch_path", "shared_folder", "shuffles_cleaned", "stored",
-           "text_or_empty"]
+__all__ = ["BLANKS", "Scratch", "documents", "free_name", "hash_int", "scratch_path", "shared_folder", "shuffles_cleaned",
+           "stored", "text_or_empty"]
 
 # The white space that the contracts name: [\x20\x09-\x0D]
 BLANKS = " \t\n\x0b\x0c\r"
@@ -59,3 +59,28 @@ def shuffles_cleaned(spark: SparkSession):
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
+
+
+class Scratch:
+    """Intermediate tables of one operator: written like ``stored``, deleted when the block ends.
+
+    What is read from them inside the block has to be written elsewhere before it ends.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)

@@ -9,13 +9,20 @@ on their full sets.
 
 Groups of copies never become pairs of copies:
 
-*   Equal sets form a class at once; only its smallest key goes on.
-*   In a bucket (documents that agree in a band) only the pairs with the bucket's
-    smallest key are confirmed first: as many as the bucket has members.
-*   Confirmed links are joined into components. Buckets whose members are all
-    in one component are done. In the others, pairs across components remain,
-    and of those only the ones that the sizes and the known overlaps with the
-    bucket's first document leave possible.
+*   Equal sets form a class at once; only one of each class goes on.
+*   In a bucket (documents that agree in a band) only the pairs with one of its
+    documents, the head, are confirmed: as many as the bucket has members.
+    Confirmed links are joined into components, and a bucket whose members are
+    all in one component is done. The others take further heads, ``HEADS`` times,
+    which are compared with the members outside their own component only.
+*   The members of buckets that still hold several components go through an exact
+    prefix filter. Shingles that only one component has cannot link it to another
+    one; the rest are ordered by how many of these members have them. Two sets
+    that are linked must share a shingle among the first of the smaller set's (a
+    ninth of it, for 80 percent) and the first of the larger one's (a fifth), at
+    places that leave enough behind them. What a whole group shares comes last in
+    that order, so a common template is no common key. Only pairs that share such
+    a shingle are confirmed; no pair is left out that could be linked.
 
 32 bands of 5 coordinates miss a pair at similarity 0.8 with probability
 3 * 10^-6, and closer pairs less often.
@@ -23,9 +30,10 @@ Groups of copies never become pairs of copies:
 Null and empty texts and texts without a word have an empty set and link with
 nothing. A text of fewer words than a shingle is one shingle. A document is a
 key with a text: rows that repeat both are one document, and different texts
-under one key, or under none, are documents of their own. Inside, the smallest
-key is thus the smallest pair of key and digest of the text; null keys count as
-the largest. Other columns are not read.
+under one key, or under none, are documents of their own. The smallest document
+is thus the one with the smallest pair of key and digest of the text; null keys
+count as the largest. Inside, classes go by numbers of eight bytes. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -36,12 +44,14 @@ from decimal import Decimal
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillwise.llm.common import free_name, stored
+from tillwise.llm.common import Scratch, free_name, shuffles_cleaned, stored
 
 BANDS, ROWS = 32, 5
+# Further heads of buckets with several components, before the prefix filter. Any number gives the same result.
+HEADS = 1
 # Links need 100 * intersection >= 80 * union.
 PERCENT = 80
 SEED = 77
@@ -211,24 +221,42 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             )
 
     joined = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(measured, "a binary, b binary, common bigint")
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(measured, "a bigint, b bigint, common bigint")
+
+
+def shingles(texts: DataFrame, width: int) -> DataFrame:
+    """``id``, ``shingle``: one row for each member of each set."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, starts, sizes in _sliced(batches, "text"):
+            ids = part.column("id").to_numpy()
+            for i, s in enumerate(shingle_sets(data, starts, sizes, width)):
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ids[i])), pa.array(s.view(np.int64))], ["id", "shingle"])
+
+    return texts.select("id", "text").mapInArrow(listed, "id bigint, shingle bigint")
 
 
 def linked(n_a: Column, n_b: Column, common: Column, percent: int = PERCENT) -> Column:
     return 100 * common >= percent * (n_a + n_b - common)
 
 
-def components(edges: DataFrame, label: str) -> DataFrame:
-    """``key``, ``component`` (the smallest key reachable) for every key of ``edges`` (``a``, ``b``).
+def _possible(n_a: Column, n_b: Column, percent: int) -> Column:
+    """Whether the sizes permit a link."""
+    return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``id``, ``component`` (the smallest number reachable) for every number in ``edges`` (``a``, ``b``).
 
     Every node takes the smallest label around it, then its label's label, until nothing changes: the number of rounds
     grows with the logarithm of the longest chain. The labels at the nodes stay in written tables.
     """
-    both = stored(
+    both = scratch.table(
         edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(),
-        f"{label}-edges",
+        "edges",
     )
-    labels = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")), f"{label}-labels")
+    labels = scratch.table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")), "labels")
     while True:
         around = both.join(labels.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b").groupBy("a").agg(
             F.min("cb").alias("cb")
@@ -236,13 +264,25 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         pulled = labels.join(around, "a").select("a", "c", F.least("c", "cb").alias("d"))
         # A label's own label: one lookup by the label, of which a large component has one that everybody asks for.
         jump = labels.select(F.col("a").alias("d"), F.col("c").alias("up"))
-        stepped = stored(
-            pulled.join(jump, "d", "left").select("a", F.least("d", F.coalesce("up", "d")).alias("d"), "c"),
-            f"{label}-labels",
+        stepped = scratch.table(
+            pulled.join(jump, "d", "left").select("a", F.least("d", F.coalesce("up", "d")).alias("d"), "c"), "labels"
         )
         labels = stepped.select("a", F.col("d").alias("c"))
         if stepped.where("c <> d").isEmpty():
-            return labels.toDF("key", "component")
+            return labels.toDF("id", "component")
+
+
+def merged(found: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """``found`` (``id``, ``component``) after more links: only the components that they join are worked on."""
+    of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
+    ends = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    joined = components(
+        ends.select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")), scratch
+    ).toDF("component", "to")
+    # Numbers that had no link before are components of their own.
+    known = found.join(joined, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    new = joined.toDF("id", "component").join(found, "id", "left_anti")
+    return scratch.table(known.unionAll(new), "components")
 
 
 def near_duplicates(
@@ -260,81 +300,106 @@ def near_duplicates(
 
 def judged(df: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """``key``, ``n``, ``class``, ``component`` of each row; all but ``n`` are identities, and ``component`` is who stays."""
+    spark = df.sparkSession
     whole = stored(sketches(df, key, text, width), "sketches")
-    classes = stored(
-        whole.where("digest IS NOT NULL").groupBy("digest").agg(F.min("key").alias("rep")), "classes"
-    )
-    # The sketch of each class's smallest document. (Rows that repeat it are one.)
-    reps = stored(
-        whole.join(classes, ["digest"]).where("key = rep").groupBy("key").agg(F.first("n").alias("n"), F.first("bands").alias("bands")),
-        "representatives",
+    with Scratch(spark) as scratch, shuffles_cleaned(spark):
+        # One row a class; its number is whatever the written table says.
+        reps = scratch.table(
+            whole.where("digest IS NOT NULL").groupBy("digest")
+            .agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+            .withColumn("id", F.monotonically_increasing_id()),
+            "classes",
+        )
+        found = _components_of(_texts(df, key, text), reps, width, percent, scratch)
+        placed = reps.select("id", "digest", "key").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        stays = placed.groupBy("component").agg(F.min("key").alias("stays"))
+        named = stored(
+            placed.join(stays, "component").select("digest", F.col("key").alias("class"), F.col("stays").alias("component")), "named"
+        )
+    return whole.select("key", "n", "digest").join(named, "digest", "left").select(
+        "key", "n", F.coalesce("class", "key").alias("class"), F.coalesce("component", "key").alias("component")
     )
-    members = reps.select("key", "n", F.explode("bands").alias("bucket"))
-    # Bucket with its smallest key, from which it is measured first.
-    heads = members.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
-    in_buckets = stored(
-        members.join(heads, "bucket").select("bucket", "key", "n", F.col("head.key").alias("head"), F.col("head.n").alias("head_n")),
+
+
+def _components_of(texts: DataFrame, reps: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """``id``, ``component`` of every class that has a link."""
+    members = reps.select("id", "n", F.explode("bands").alias("bucket"))
+    heads = members.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("head"), F.count("*").alias("size")).where("size > 1")
+    in_buckets = scratch.table(
+        members.join(heads, "bucket").select("bucket", "id", "n", F.col("head.id").alias("head"), F.col("head.n").alias("head_n")),
         "buckets",
     )
-    possible = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
-    star = stored(in_buckets.where("key <> head").where(possible).select(F.col("head").alias("a"), F.col("key").alias("b"), "head_n", "n").distinct(), "star")
-    texts = _texts(df, key, text)
-    needed = star.select("a").unionAll(star.select("b")).distinct().toDF("key")
-    kept_texts = stored(texts.join(needed, "key", "left_semi").groupBy("key").agg(F.max("text").alias("text")), "candidates")
-    overlaps = stored(confirm(star.select("a", "b"), kept_texts, width), "overlaps")
-    links = star.join(overlaps, ["a", "b"]).where(linked(F.col("head_n"), F.col("n"), F.col("common"), percent)).select("a", "b")
-    found = components(links, "star")
-    rest = _across(in_buckets, overlaps, found, percent)
-    if not rest.isEmpty():
-        needed = rest.select("a").unionAll(rest.select("b")).distinct().toDF("key")
-        more_texts = stored(texts.join(needed, "key", "left_semi").groupBy("key").agg(F.max("text").alias("text")), "candidates")
-        more = confirm(rest.select("a", "b"), more_texts, width)
-        more = rest.join(more, ["a", "b"]).where(linked(F.col("n_a"), F.col("n_b"), F.col("common"), percent)).select("a", "b")
-        found = components(stored(links.unionAll(more), "links"), "all")
-    named = classes.join(found.withColumnRenamed("key", "rep"), "rep", "left").select(
-        "digest", F.col("rep").alias("class"), F.coalesce("component", "rep").alias("component")
-    )
-    return whole.select("key", "n", "digest").join(stored(named, "named"), "digest", "left").select(
-        "key", "n", F.coalesce("class", "key").alias("class"), F.coalesce("component", "key").alias("component")
+    needed = reps.select("key", "id").join(in_buckets.select("id").distinct(), "id")
+    kept_texts = scratch.table(
+        texts.join(needed, "key").groupBy("id").agg(F.max("text").alias("text")), "candidates"
     )
 
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """Those of ``pairs`` (``a``, ``b``, ``n_a``, ``n_b``) that are links."""
+        sizes = scratch.table(pairs.distinct(), "pairs")
+        overlaps = confirm(sizes.select("a", "b"), kept_texts, width)
+        return scratch.table(
+            sizes.join(overlaps, ["a", "b"]).where(linked(F.col("n_a"), F.col("n_b"), F.col("common"), percent)).select("a", "b"),
+            "links",
+        )
 
-def _across(in_buckets: DataFrame, overlaps: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket that are in different components and may still be linked: ``a`` < ``b``, ``n_a``, ``n_b``."""
-    placed = (
-        in_buckets.join(found, "key", "left")
-        .join(overlaps.withColumnsRenamed({"a": "head", "b": "key"}), ["head", "key"], "left")
-        # What is in the set and in the first document's. Where only the sizes ruled a pair out, at most all of it is.
-        .withColumn("common", F.when(F.col("key") == F.col("head"), F.col("n")).otherwise(F.col("common")))
-        .withColumn("component", F.coalesce("component", "key"))
+    star = in_buckets.where("id <> head").where(_possible(F.col("n"), F.col("head_n"), percent))
+    found = components(
+        confirmed(star.select(F.col("head").alias("a"), F.col("id").alias("b"), F.col("head_n").alias("n_a"), F.col("n").alias("n_b"))),
+        scratch,
     )
+    open_ = in_buckets.select("bucket", "id", "n")
+    for turn in range(HEADS):
+        placed = open_.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = placed.groupBy("bucket").agg(
+            F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "n", "component")).alias("head"),
+            F.min("component").alias("low"), F.max("component").alias("high"),
+        ).where("low < high").select("bucket", "head")
+        open_ = scratch.table(placed.join(mixed, "bucket"), "open")
+        if open_.isEmpty():
+            return found
+        others = open_.where("component <> head.component").where(_possible(F.col("n"), F.col("head.n"), percent))
+        pairs = others.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b"))
+        found = merged(found, confirmed(pairs), scratch)
+        open_ = open_.select("bucket", "id", "n")
+    last = scratch.table(_by_prefix(open_, found, kept_texts, width, percent, scratch), "by-prefix")
+    return found if last.isEmpty() else merged(found, confirmed(last), scratch)
+
+
+def _by_prefix(open_: DataFrame, found: DataFrame, texts: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Every pair of different components of a bucket that may be linked: ``a``, ``b``, ``n_a``, ``n_b``."""
+    placed = open_.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    # The bucket's first document is through: every pair with it has been looked at.
-    open_ = stored(
-        placed.join(mixed.select("bucket", "low"), "bucket").where("key <> head").select(
-            "bucket", "key", "n", "component", "head_n", "common"
-        ),
-        "open",
+    members = scratch.table(placed.join(mixed.select("bucket"), "bucket", "left_semi").select("id", "n", "component").distinct(), "open-members")
+    held = scratch.table(shingles(texts.join(members.select("id"), "id", "left_semi"), width).join(members, "id"), "shingles")
+    # Shingles of one component cannot link it with another; the others, rarest first.
+    shared = held.groupBy("shingle").agg(
+        F.count("*").alias("times"), F.min("component").alias("low"), F.max("component").alias("high")
+    ).where("low < high").select("shingle", "times")
+    # A document's own shingles: no more than it has words.
+    mine = Window.partitionBy("id")
+    ranked = held.join(shared, "shingle").withColumn(
+        "place", F.col("n") - F.count("*").over(mine) + F.row_number().over(mine.orderBy("times", "shingle"))
     )
-    left, right = open_.alias("x"), open_.alias("y")
-    n_x, n_y, in_x, in_y = (F.col(c) for c in ("x.n", "y.n", "x.common", "y.common"))
-    # The overlap of two sets is at most what both have of the first document's and what both have beside it.
-    bound = F.least(
-        F.coalesce(F.least(in_x, in_y) + F.least(n_x - in_x, n_y - in_y), F.least(n_x, n_y)), F.least(n_x, n_y)
+    # Of two linked sets the larger one shares at least ``percent`` of its own shingles, the smaller one that much of both.
+    least = lambda n, of: -F.floor(-(n * percent) / F.lit(of))
+    longer = scratch.table(
+        ranked.where(F.col("place") <= F.col("n") - least(F.col("n"), 100) + 1).select("shingle", "id", "n", "component", "place"),
+        "prefixes",
     )
-    pairs = left.join(
-        right,
-        (F.col("x.bucket") == F.col("y.bucket"))
-        & (F.col("x.key") < F.col("y.key"))
+    shorter = longer.where(F.col("place") <= F.col("n") - least(2 * F.col("n"), 100 + percent) + 1)
+    x, y = shorter.alias("x"), longer.alias("y")
+    n_x, n_y = F.col("x.n"), F.col("y.n")
+    behind = F.least(n_x - F.col("x.place"), n_y - F.col("y.place")) + 1
+    pairs = x.join(
+        y,
+        (F.col("x.shingle") == F.col("y.shingle"))
         & (F.col("x.component") != F.col("y.component"))
-        & linked(n_x, n_y, bound, percent),
-    )
-    return stored(
-        pairs.select(
-            F.col("x.key").alias("a"), F.col("y.key").alias("b"), n_x.alias("n_a"), n_y.alias("n_b")
-        ).distinct(),
-        "across",
+        & ((n_x < n_y) | (n_x == n_y) & (F.col("x.id") < F.col("y.id")))
+        & _possible(n_x, n_y, percent)
+        & (behind * (100 + percent) >= percent * (n_x + n_y)),
     )
+    return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), n_x.alias("n_a"), n_y.alias("n_b")).distinct()
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
