@@ -27,7 +27,8 @@ The transform's columns are kept in memory, a bucket at a time, not in files:
 buckets are sized to fit, and executors' own disks are not shared.
 
 Keys: any order Spark gives them; the query's are integers. A null key counts
-as larger than any other. Rows with equal keys do not cover each other. Null
+as larger than any other. Rows with equal keys do not cover each other; a row is
+known by its key and 64 bits of its text's hash. Null
 and empty texts and texts under 50 bytes lose nothing. Other columns are not
 read. An empty table gives an empty result.
 """
@@ -359,7 +360,7 @@ def _pack(rows, size, at, text, key, tag, begin) -> bytes:
     return _squeeze(
         (
             rows, size.astype(np.uint8), at.astype(np.uint8), opens, np.diff(key[opens], prepend=0),
-            tag[opens].astype(np.int32), begin,
+            tag[opens], begin,
         ),
         6,
     )
@@ -369,7 +370,7 @@ def _unpack(block: bytes) -> list[np.ndarray]:
     """rows, size, at, key, tag, begin"""
     rows, size, at, opens, key, tag, begin = _unsqueeze(block, 7)
     of = np.cumsum(opens) - 1
-    return [rows, size.astype(np.int64), at.astype(np.int64), np.cumsum(key)[of], tag[of].astype(np.int64), begin]
+    return [rows, size.astype(np.int64), at.astype(np.int64), np.cumsum(key)[of], tag[of], begin]
 
 
 def _blocks(n_buckets: int):
@@ -486,7 +487,7 @@ def _gather(table: pa.Table) -> pa.Table:
 
 
 def _tag(text: Column) -> Column:
-    return F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF).cast("bigint"))
+    return F.xxhash64(text)
 
 
 def covered_spans(df: DataFrame, key: str = "doc_id", text: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
