@@ -4,14 +4,14 @@ Each source has a rate: its target share of the mixture over its share of the
 corpus, so the mean number of copies of a document of that source. A document's
 number of copies is drawn from the Poisson distribution with that mean, by
 inverting its distribution function at a uniform number hashed from seed and
-key; a fraction is thus met on average by every document, without rounding, and
+key (of a row without a key, from its text); a fraction is thus met on average by every document, without rounding, and
 any task works out the same number again. Copies are then dealt to partitions
 and ordered by another hash: a global shuffle.
 
 Sizes are UTF-8 bytes plus one. A null source is a source of its own. A null
 text has size one. Without explicit targets a source's share is its size to the
 power ``temperature``. A source without a target, where targets are given, has
-rate 0. Repeated rows draw the same number. An empty table gives an empty
+rate 0. Rows that repeat a key, or without one a text, draw the same number. An empty table gives an empty
 result. All columns of the input are handed through, whatever their names.
 """
 
@@ -91,11 +91,14 @@ def mix(
     # A row per source, written and so of known size: Catalyst broadcasts it below its limit. Beyond it, the join
     # shuffles, and a source with a third of the rows is split by the adaptive skew join.
     rated = df.join(stored(rates, "source-rates"), F.col(f"`{source}`").eqNullSafe(F.col(joined)), "left").drop(joined)
-    counted = rated.withColumn(n_copies, poisson(F.coalesce(F.col(rate), F.lit(0.0)), F.col(f"`{key}`"), seed=seed))
+    # Rows without a key are told apart by their texts, or all of them would be drawn, or not, together.
+    named = F.coalesce(F.col(f"`{key}`").cast("string"), F.concat(F.lit("text:"), F.md5(text_or_empty(f"`{text}`"))))
+    counted = rated.withColumn(n_copies, poisson(F.coalesce(F.col(rate), F.lit(0.0)), named, seed=seed))
     copies = counted.where(F.col(n_copies) > 0).withColumn(
         copy_no, F.explode(F.sequence(F.lit(0), F.col(n_copies) - 1))
     )
-    order = hash_int(F.lit(seed), F.lit("order"), F.col(f"`{key}`"), F.col(copy_no))
+    # The text counts too: rows that repeat a key spread over all partitions.
+    order = hash_int(F.lit(seed), F.lit("order"), named, F.xxhash64(F.col(f"`{text}`")), F.col(copy_no))
     place = free_name(copies, "_place")
     return (
         copies.withColumn(place, order)
