@@ -96,14 +96,17 @@ def shard(
     scattered = spark.read.schema(scattered.schema).parquet(path)
     # One row per bucket; a bucket's first slot is what lies before it in its shard.
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # A bucket's rows never move for the lookup: its side is one row per bucket.
-    starts = F.broadcast(
+    # One row per bucket, of known size: Catalyst broadcasts it below its limit.
+    starts = stored(
         scattered.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-        .select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        .select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")),
+        "bucket-starts",
     )
-    # Pass two. Sorted by key first: the permutation then depends on the seed, not on the order of arrival.
+    # Pass two, about one bucket a task. ``shuffle`` draws from the seed and the task's number, and a bucket's task follows
+    # from the number of buckets alone; sorted by key first, the permutation depends on the seed, the rows and nothing else.
     buckets = (
-        scattered.groupBy("shard", "bucket")
+        scattered.repartition(sum(per_shard.values()) or 1, "shard", "bucket")
+        .groupBy("shard", "bucket")
         .agg(F.sort_array(F.collect_list(F.struct("key", "row"))).alias("rows"))
         .sortWithinPartitions("shard", "bucket")
         .withColumn("rows", F.shuffle("rows", seed))
