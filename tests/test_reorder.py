@@ -147,3 +147,14 @@ def test_rounding(spark):
     even, up = dicts(reorder.reorder_plan(bought))[0], dicts(reorder.reorder_plan(bought, half_even=False))[0]
     assert (even["unit_cogs"], even["budget_spend"], even["est_gp_uplift_week"]) == (0.12, 0.12, 0.12)
     assert (up["unit_cogs"], up["budget_spend"], up["est_gp_uplift_week"]) == (0.13, 0.13, 0.13)
+
+
+def test_summary_per_store_with_own_budgets(spark):
+    """A store that buys nothing keeps its row and its budget."""
+    products = rates(spark, {"a": [(10, 3), (5, 2)], "b": [(50, 1)], "c": [(1, 4)]})
+    budgets = spark.createDataFrame([("a", 100.0), ("b", 20.0), ("c", 2.5)], "store string, budget double")
+    bought = reorder.reorder_purchases(products, store_keys=["store"], budgets=budgets)
+    rows = {r["store"]: r for r in dicts(reorder.reorder_summary(bought, store_keys=["store"], budgets=budgets))}
+    assert rows["a"] == {"store": "a", "budget": 100.0, "spent": 40.0, "remaining": 60.0, "n_items": 2}
+    assert rows["b"] == {"store": "b", "budget": 20.0, "spent": 0.0, "remaining": 20.0, "n_items": 0}
+    assert rows["c"] == {"store": "c", "budget": 2.5, "spent": 2.0, "remaining": 0.5, "n_items": 1}

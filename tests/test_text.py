@@ -122,3 +122,9 @@ def test_lines_to_read(spark):
     assert dicts(messages) == [{"message": "Budget: €500 → Remaining: €0.50"}]
     total = spark.sql("SELECT 1234.5D AS total_extra_cash")
     assert dicts(report.clearance_message(total))[0]["message"].endswith("clearance: €1234.50")
+
+
+def test_text_behind_a_heading_keeps_its_bold_marks(spark):
+    df = spark.createDataFrame([(1, "1. **Title** with **bold** text\nand **more**")], "id int, text string")
+    rows = [(r.kind, r.content) for r in text.text_outline(df, "id").orderBy("block_no").collect()]
+    assert rows == [("heading", "Title"), ("paragraph", "with **bold** text and more")]

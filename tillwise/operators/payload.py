@@ -52,3 +52,15 @@ def plan_payload(plan: DataFrame, summary: DataFrame) -> DataFrame:
     head = summary.select(F.lit("budget").alias("section"), F.to_json(_record(summary.columns)).alias("payload"))
     lines = plan.select(F.lit("purchase").alias("section"), F.to_json(_record(plan.columns)).alias("payload"))
     return head.unionByName(lines)
+
+
+def snapshot_payload(snapshot: DataFrame) -> DataFrame:
+    """The snapshot as one JSON record, days as ISO text."""
+    columns = [F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in snapshot.dtypes]
+    return snapshot.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def payload_values(payloads: DataFrame, kinds: dict[str, str], payload: str = "payload") -> DataFrame:
+    """The named values of JSON records, by way of a VARIANT: compared by value, not by how a number is written."""
+    record = F.parse_json(F.col(payload))
+    return payloads.select(*[F.variant_get(record, f"$.{name}", kind).alias(name) for name, kind in kinds.items()])

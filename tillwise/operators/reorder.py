@@ -206,15 +206,31 @@ def web_plan(plan: DataFrame) -> DataFrame:
     )
 
 
-def reorder_summary(purchases: DataFrame, budget: float | None = None, store_keys: Sequence[str] = ()) -> DataFrame:
-    """Budget, money spent, money left and number of products bought; one row, or one per store that buys."""
-    money = F.lit(str(DEFAULT_BUDGET if budget is None else budget)).cast("decimal(28,4)")
+def reorder_summary(
+    purchases: DataFrame,
+    budget: float | None = None,
+    store_keys: Sequence[str] = (),
+    budgets: DataFrame | None = None,
+) -> DataFrame:
+    """Budget, money spent, money left and number of products bought; one row, or one per store.
+
+    With ``budgets`` (store keys and ``budget``) every store listed there has
+    its row and its own budget, also one that buys nothing; without it, with a
+    common budget, only stores that buy are known.
+    """
     spent = total(F.sum(_spend())).cast("decimal(30,4)")
     sums = purchases.groupBy(*store_keys).agg(F.count("*").alias("n_items"), spent.alias("spent"))
-    return sums.select(
+    if budgets is None:
+        money = F.lit(str(DEFAULT_BUDGET if budget is None else budget)).cast("decimal(28,4)")
+        given = sums.withColumn("budget", money)
+    else:
+        # One row a store on either side.
+        money = F.col("budget").cast("decimal(28,4)").alias("budget")
+        given = budgets.select(*store_keys, money).join(sums, list(store_keys), "left")
+    return given.select(
         *store_keys,
-        money.cast("double").alias("budget"),
-        F.col("spent").cast("double").alias("spent"),
-        (money - F.col("spent")).cast("double").alias("remaining"),
-        "n_items",
+        F.col("budget").cast("double").alias("budget"),
+        total("spent").cast("double").alias("spent"),
+        (F.col("budget") - total("spent")).cast("double").alias("remaining"),
+        total("n_items").alias("n_items"),
     )

@@ -137,7 +137,8 @@ def _piece(line: Column) -> Column:
         F.when(line == "", F.lit(MARK + BLANK + MARK + PARAGRAPH))
         .when(
             title != "",
-            F.concat(F.lit(MARK + HEADING), _escaped(title), F.lit(MARK + PARAGRAPH), _running(rest)),
+            # What follows a heading is taken as it is, bold marks and all.
+            F.concat(F.lit(MARK + HEADING), _escaped(title), F.lit(MARK + PARAGRAPH), _escaped(rest), F.lit(" ")),
         )
         .when(
             F.startswith(line, F.lit("-")),

@@ -46,7 +46,13 @@ _PM = """
 pm AS (
   SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category,
          CAST(p_retailprice AS DECIMAL(18,2)) AS cogs
-  FROM part WHERE p_partkey % 97 <> 0)"""
+  FROM part)"""
+
+_PM_GAPS = """
+pm AS (
+  SELECT p_partkey AS product_id, p_name AS product_name, p_type AS category,
+         CASE WHEN p_partkey % 97 <> 0 THEN CAST(p_retailprice AS DECIMAL(18,2)) END AS cogs
+  FROM part)"""
 
 _PM2 = (
     _PM
@@ -134,7 +140,7 @@ _RATES_NET = _rates("ntx", "product_id")
 _RATES_STORE = _rates("ptx", "store, product_id, product_name, cogs")
 
 
-def _walk(budget: float, order: str, by_store: bool = False) -> str:
+def _walk(budget: float | str, order: str, by_store: bool = False) -> str:
     """The plan by definition: one product after the other in rank order, carrying the money left."""
     part = "PARTITION BY store " if by_store else ""
     store, tie = ("store, ", " AND r.store = w.store") if by_store else ("", "")
@@ -359,7 +365,7 @@ item AS (
     WHEN 'bullet' THEN {_strip(unbold.format('substr(l, 2)'))} WHEN 'text' THEN {unbold.format('l')} ELSE '' END AS c
   FROM kinds
   UNION ALL
-  SELECT {keys}, 2 * i + 1, 'text', {unbold.format(_strip(f"regexp_extract(l, '{heading}', 2)"))} FROM kinds
+  SELECT {keys}, 2 * i + 1, 'text', {_strip(f"regexp_extract(l, '{heading}', 2)")} FROM kinds
   WHERE k = 'heading'),
 grouped AS (
   SELECT *, count(*) FILTER (k <> 'text') OVER (PARTITION BY {keys} ORDER BY i) AS g FROM item),
@@ -418,3 +424,66 @@ SELECT 'purchase', CAST(to_json(s) AS VARCHAR) FROM (SELECT {_plan('round_even',
     + " SELECT 'Budget: €500000 → Remaining: €' || format('{:.2f}', "
     "CAST(500000 - coalesce(sum(cogs * units), 0) AS DOUBLE)) AS message FROM bought",
 }
+
+# What is lost of a line: values that do not fit; a line that ends after five fields has no others to lose.
+_LOSSES = """
+lost AS (
+  SELECT product_id, list_filter([
+      CASE WHEN product_id % 73 = 0 THEN 'sale_day: became NULL' END,
+      CASE WHEN product_id % 89 = 0 AND product_id % 71 <> 0 THEN 'quantity: became NULL' END,
+      CASE WHEN product_id % 83 = 0 AND product_id % 71 <> 0 THEN 'line_total: became NULL' END,
+      CASE WHEN product_id % 79 = 0 AND product_id % 71 <> 0 THEN 'tip_amount: lost digits' END,
+      CASE WHEN product_id % 71 = 0 OR product_id % 67 = 0 THEN 'malformed line' END], lambda x: x IS NOT NULL) AS problems
+  FROM tx)"""
+
+ORACLE |= {
+    "processed_transactions_unknown_cost": _with(_TX, _PM_GAPS, _PROCESSED)
+    + " SELECT transaction_id, product_id, CAST(quantity AS DOUBLE) AS quantity, CAST(unit_price AS DOUBLE) AS unit_price, "
+    "CAST(discount AS DOUBLE) AS discount, CAST(cogs AS DOUBLE) AS cogs, CAST(unit_margin AS DOUBLE) AS unit_margin, "
+    "CAST(gross_profit AS DOUBLE) AS gross_profit FROM ptx",
+    "reorder_plan_unknown_cost": _with(_TX, _PM_GAPS, _PROCESSED, _DAYS, _RATES, _walk(500000, _BEST))
+    + f" SELECT {_plan('round_even', 'est_gp_uplift_week')} FROM bought",
+    "reorder_plan_default_budget": _with(
+        _TX, _PM.replace("AS DECIMAL(18,2)) AS cogs", "AS DECIMAL(18,4)) / 100 AS DECIMAL(18,4)) AS cogs").replace(
+            "CAST(p_retailprice", "CAST(CAST(p_retailprice"), _PROCESSED, _DAYS, _RATES, _walk(500, _BEST)
+    )
+    + f" SELECT {_plan('round_even', 'est_gp_uplift_week')} FROM bought",
+    "reorder_summary_own_budgets": _with(
+        _TX, _PM, _PROCESSED, _DAYS, _RATES_STORE,
+        _walk("(SELECT n_nationkey * 2000 FROM nation WHERE n_name = store)", _BEST, by_store=True),
+    )
+    + " SELECT n_name AS store, CAST(n_nationkey * 2000 AS DOUBLE) AS budget, "
+    "CAST(coalesce(sum(cogs * units), 0) AS DOUBLE) AS spent, "
+    "CAST(n_nationkey * 2000 - coalesce(sum(cogs * units), 0) AS DOUBLE) AS remaining, count(product_id) AS n_items "
+    "FROM nation LEFT JOIN bought ON store = n_name GROUP BY n_name, n_nationkey",
+    "analysis_low_margin": ORACLE["low_margin_products"],
+    "analysis_cash_eaters_web": ORACLE["cash_eaters"],
+    "analysis_reorder": ORACLE["reorder_plan"],
+    "analysis_reorder_web": _with(
+        _TX, _PM2.replace("FROM pm2 GROUP", "FROM pm2 WHERE load_no = 1 GROUP"), _NET, _DAYS, _RATES_NET,
+        _walk(500000, "gp_per_day DESC, product_id"),
+    )
+    + " SELECT CAST(500000 AS DOUBLE) AS budget, CAST(coalesce(sum(cogs * units), 0) AS DOUBLE) AS spent, "
+    "CAST(500000 - coalesce(sum(cogs * units), 0) AS DOUBLE) AS remaining, count(*) AS n_items FROM bought",
+    "analysis_free_cash": ORACLE["free_up_total"],
+    "current_snapshot": ORACLE["executive_snapshot"],
+    "snapshot_of_sales_only": "SELECT * REPLACE (0.0::DOUBLE AS processor_fees, 0.0::DOUBLE AS refunds, "
+    f"0.0::DOUBLE AS net_payouts) FROM ({ORACLE['executive_snapshot']})",
+    "snapshot_payload_read": "SELECT * REPLACE (CAST(first_day AS VARCHAR) AS first_day, CAST(last_day AS VARCHAR) AS last_day) "
+    f"FROM ({ORACLE['executive_snapshot']})",
+    "load_losses": _with(_TX, _LOSSES)
+    + " SELECT 'transactions' AS file, CASE WHEN contains(p, ': ') THEN split_part(p, ': ', 1) ELSE '' END AS field, "
+    "CASE WHEN contains(p, ': ') THEN split_part(p, ': ', 2) ELSE p END AS problem, count(*) AS n_rows "
+    "FROM (SELECT unnest(problems) AS p FROM lost) GROUP BY p",
+    "load_rejects": _with(_TX, _LOSSES)
+    + " SELECT CAST(product_id AS VARCHAR) AS product_id, array_to_string(problems, '; ') AS problems, count(*) AS n_rows "
+    "FROM lost WHERE len(problems) > 0 GROUP BY ALL",
+    "schema_report_web": _with(_TX, _RF, _PO, _PM)
+    + """ SELECT 'transactions' AS file, count(*) AS n_rows, 'Missing required columns: day, cogs, gross_profit' AS errors,
+  'date; transaction_id; product_id; product_name; category; quantity; unit_price; gross_sales; discount; net_sales; tax; '
+  || 'line_total; payment_type; tip_amount' AS available FROM tx
+UNION ALL SELECT 'refunds', 0, 'File is empty', 'original_transaction_id; refund_date; refund_amount'
+UNION ALL SELECT 'payouts', count(*), 'Missing required columns: net_payout',
+  'covering_sales_date; gross_card_volume; processor_fees; net_payout_amount; payout_date' FROM po
+UNION ALL SELECT 'products', count(*), '', '' FROM pm""",
+}

@@ -16,7 +16,8 @@ from tillwise.plans.dispatch import run_analysis
 from tillwise.sources import star
 from tillwise.sources.conform import conform, to_dialect
 from tillwise.sources.csv import read_csv, write_csv
-from tillwise.sources.tables import load_folder, load_session, save_folder, save_session
+from tillwise.sources.ledger import audited, reject_report, rejected
+from tillwise.sources.tables import current, load_folder, load_session, save_folder, save_session, set_current, with_empty
 from tillwise.sources.validate import dataset_status, schema_report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +67,16 @@ def processed_transactions_relisted(spark, folder):
     return _doubles(done)
 
 
+@query
+def processed_transactions_unknown_cost(spark, folder):
+    """Costs that the master does not know leave margin and profit empty."""
+    done = base.processed_transactions(
+        _sales(spark, folder, "transaction_id", "product_id", "quantity", "unit_price", "discount"),
+        star.products_with_gaps(spark, folder),
+    )
+    return _doubles(done)
+
+
 @query
 def gross_profit_net(spark, folder):
     done = base.gross_profit_net(
@@ -263,6 +274,23 @@ def reorder_plan(spark, folder):
     return reorder.reorder_plan(reorder.reorder_purchases(_rates(spark, folder), BUDGET))
 
 
+@query
+def reorder_plan_unknown_cost(spark, folder):
+    """Products of unknown cost are never reordered."""
+    rates = velocity.sku_rates(
+        _sales(spark, folder, *star.SKU_COLUMNS), star.products_with_gaps(spark, folder), coverage=_days(spark, folder)
+    )
+    return reorder.reorder_plan(reorder.reorder_purchases(rates, BUDGET))
+
+
+@query
+def reorder_plan_default_budget(spark, folder):
+    """No budget given: 500, for goods that cost a hundredth."""
+    cheap = star.products(spark, folder).withColumn("cogs", (F.col("cogs") / 100).cast("decimal(18,4)"))
+    rates = velocity.sku_rates(_sales(spark, folder, *star.SKU_COLUMNS), cheap, coverage=_days(spark, folder))
+    return reorder.reorder_plan(reorder.reorder_purchases(rates))
+
+
 @query
 def reorder_plan_net(spark, folder):
     bought = reorder.reorder_purchases(_rates_net(spark, folder), BUDGET, by_quantity=False)
@@ -279,12 +307,12 @@ def reorder_message(spark, folder):
     return report.reorder_message(reorder_summary(spark, folder))
 
 
-def _by_nation(spark, folder):
+def _by_nation(spark, folder, budgets=None):
     sales = star.transactions(spark, folder, star.SKU_COLUMNS, with_store=True)
     rates = velocity.sku_rates(
         sales, star.products(spark, folder), coverage=_days(spark, folder), extra_keys=["store"]
     )
-    return reorder.reorder_purchases(rates, STORE_BUDGET, store_keys=["store"])
+    return reorder.reorder_purchases(rates, STORE_BUDGET, store_keys=["store"], budgets=budgets)
 
 
 @query
@@ -297,6 +325,14 @@ def reorder_summary_by_nation(spark, folder):
     return reorder.reorder_summary(_by_nation(spark, folder), STORE_BUDGET, ["store"])
 
 
+@query
+def reorder_summary_own_budgets(spark, folder):
+    """Every store has a budget of its own; the first one's is 0, and it still has its row."""
+    nations = star.read(spark, folder, "nation")
+    budgets = nations.select(F.col("n_name").alias("store"), (F.col("n_nationkey") * 2_000).cast("decimal(18,4)").alias("budget"))
+    return reorder.reorder_summary(_by_nation(spark, folder, budgets), store_keys=["store"], budgets=budgets)
+
+
 # -- analysis by name ----------------------------------------------------------------------------
 
 
@@ -305,6 +341,48 @@ def analysis_cash_eaters(spark, folder):
     return run_analysis(star.tables(spark, folder), "cash_eaters")["cash_eaters"]
 
 
+@query
+def analysis_low_margin(spark, folder):
+    return run_analysis(star.tables(spark, folder), "cash_eaters")["low_margin_products"]
+
+
+@query
+def analysis_cash_eaters_web(spark, folder):
+    return run_analysis(star.tables(spark, folder), "cash_eaters", dialect="web")["cash_eaters"]
+
+
+@query
+def analysis_reorder(spark, folder):
+    return run_analysis(star.tables(spark, folder), "reorder", budget=BUDGET)["reorder_plan"]
+
+
+@query
+def analysis_reorder_web(spark, folder):
+    return run_analysis(star.tables(spark, folder), "reorder", dialect="web", budget=BUDGET)["reorder_summary"]
+
+
+@query
+def analysis_free_cash(spark, folder):
+    return run_analysis(star.tables(spark, folder), "free_cash")["free_up_total"]
+
+
+@query
+def current_snapshot(spark, folder):
+    """The snapshot of whatever tables are current; refunds come later and replace those of before."""
+    tables = star.tables(spark, folder)
+    set_current({**tables, "refunds": tables["refunds"].limit(0)})
+    set_current({"refunds": tables["refunds"]})
+    now = current(spark)
+    return snapshot.executive_snapshot(now["transactions"], now["refunds"], now["payouts"])
+
+
+@query
+def snapshot_of_sales_only(spark, folder):
+    """A shop that has connected its till and nothing else."""
+    tables = with_empty(spark, {"transactions": star.transactions(spark, folder)})
+    return snapshot.executive_snapshot(tables["transactions"], tables["refunds"], tables["payouts"])
+
+
 @query
 def analysis_snapshot_only(spark, folder):
     """A name no analysis goes by still gives the snapshot."""
@@ -332,6 +410,49 @@ def csv_ingest(spark, folder):
     )
 
 
+def _damaged_export(spark, folder):
+    """Lines of CSV with values that do not fit, lines that end early, and lines with a field too many; its path."""
+    sales = to_dialect(star.transactions(spark, folder), "transactions")
+    product = F.col("product_id")
+
+    def damaged(column: str, every: int, value: str) -> None:
+        nonlocal sales
+        sales = sales.withColumn(column, F.when(F.col("_product") % every == 0, F.lit(value)).otherwise(F.col(column).cast("string")))
+
+    sales = sales.withColumn("_product", product)
+    damaged("quantity", 89, "n/a")
+    damaged("line_total", 83, "123456789012345.5")
+    damaged("tip_amount", 79, "0.00000004")
+    damaged("date", 73, "someday")
+    columns = [c for c in sales.columns if c != "_product"]
+    whole = F.to_csv(F.struct(*columns))
+    line = (
+        F.when(F.col("_product") % 71 == 0, F.to_csv(F.struct(*columns[:5])))
+        .when(F.col("_product") % 67 == 0, F.concat(whole, F.lit(",surplus")))
+        .otherwise(whole)
+    )
+    path = scratch_path(spark, "csv-damaged")
+    # One column whose name is the header and whose values are lines, written as they are.
+    as_is = {"header": True, "sep": "\u0001", "quote": "\u0000", "escapeQuotes": False}
+    sales.select(line.alias(",".join(columns))).write.options(**as_is).csv(path)
+    return path
+
+
+@query
+def load_losses(spark, folder):
+    """What a damaged export loses on loading, by field and problem."""
+    raw = read_csv(spark, _damaged_export(spark, folder), keep_malformed_text=True)
+    return reject_report({"transactions": audited(raw, "transactions")})
+
+
+@query
+def load_rejects(spark, folder):
+    """The rows that lost something, with what they lost."""
+    raw = read_csv(spark, _damaged_export(spark, folder), keep_malformed_text=True)
+    rows = rejected(audited(raw, "transactions"), "transactions")
+    return rows.groupBy("product_id", F.array_join("problems", "; ").alias("problems")).agg(F.count("*").alias("n_rows"))
+
+
 def _lines(tables):
     """The four tables as one: table, key, day and amount of each row."""
     parts = {
@@ -388,6 +509,15 @@ def schema_report_query(spark, folder):
     return report.withColumn("errors", F.array_join("errors", "; "))
 
 
+@query
+def schema_report_web(spark, folder):
+    """Files of the other dialect: columns that are missing, those there instead, and a file without rows."""
+    tables = {t: to_dialect(df, t) for t, df in star.tables(spark, folder).items()}
+    tables["refunds"] = tables["refunds"].where("refund_amount < 0")
+    report = schema_report(tables, "web", with_available=True)
+    return report.withColumns({c: F.array_join(c, "; ") for c in ("errors", "available")})
+
+
 QUERIES["dataset_status"] = QUERIES.pop("dataset_status_query")
 QUERIES["schema_report"] = QUERIES.pop("schema_report_query")
 
@@ -444,6 +574,15 @@ def insight_payload_read(spark, folder):
     )
 
 
+@query
+def snapshot_payload_read(spark, folder):
+    """The snapshot as a JSON record and read again."""
+    kinds = {"first_day": "string", "transactions": "bigint", "items_sold": "bigint"}
+    amounts = [c for c in executive_snapshot(spark, folder).columns if c not in (*kinds, "last_day")]
+    written = payload.snapshot_payload(executive_snapshot(spark, folder))
+    return payload.payload_values(written, {**kinds, "last_day": "string", **dict.fromkeys(amounts, "double")})
+
+
 @query
 def reorder_payload(spark, folder):
     bought = reorder.reorder_purchases(_rates(spark, folder), BUDGET)

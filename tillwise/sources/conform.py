@@ -13,26 +13,35 @@ from tillwise.schemas import CANONICAL, RENAMES, REQUIRED_COLUMNS
 def conform(df: DataFrame, table: str, dialect: str = "pos", strict: bool = False) -> DataFrame:
     """Rename to canonical columns, cast to canonical types, add the columns this dialect lacks as NULL.
 
-    A value that does not fit its type becomes NULL, or an error if ``strict``.
+    A value that does not fit its type becomes NULL, or an error if ``strict``;
+    ``ledger.audited`` does the same and marks what was lost.
     """
-    renames = RENAMES.get(dialect, {}).get(table, {})
-    named = df.withColumnsRenamed(renames)
-    return named.select(
-        *[
-            _cast(named, field, strict).alias(field.name)
-            if field.name in named.columns
-            else F.lit(None).cast(field.dataType).alias(field.name)
-            for field in CANONICAL[table].fields
-        ]
-    )
-
-
-def _cast(df: DataFrame, field: T.StructField, strict: bool) -> Column:
+    named, columns = conform_columns(df, table, dialect, strict)
+    return named.select(*columns)
+
+
+def conform_columns(
+    df: DataFrame, table: str, dialect: str = "pos", strict: bool = False
+) -> tuple[DataFrame, list[Column]]:
+    """``df`` under canonical names, and the canonical columns over it."""
+    named = df.withColumnsRenamed(RENAMES.get(dialect, {}).get(table, {}))
+    return named, [
+        (cast_value(named, field, strict) if field.name in named.columns else F.lit(None).cast(field.dataType)).alias(field.name)
+        for field in CANONICAL[table].fields
+    ]
+
+
+def given_value(df: DataFrame, field: T.StructField) -> Column:
+    """The value as the file has it; for a number or a date a blank text is none."""
     column = F.col(field.name)
-    is_text = isinstance(df.schema[field.name].dataType, T.StringType)
-    if is_text and not isinstance(field.dataType, T.StringType):
+    if isinstance(df.schema[field.name].dataType, T.StringType) and not isinstance(field.dataType, T.StringType):
         column = F.nullif(strip(column), F.lit(""))
-    if isinstance(field.dataType, T.DateType) and is_text:
+    return column
+
+
+def cast_value(df: DataFrame, field: T.StructField, strict: bool = False) -> Column:
+    column = given_value(df, field)
+    if isinstance(field.dataType, T.DateType) and isinstance(df.schema[field.name].dataType, T.StringType):
         # Dates may carry a time of day; the day is what counts.
         moment = F.to_timestamp(column) if strict else F.try_to_timestamp(column)
         return F.to_date(moment)

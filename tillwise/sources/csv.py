@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +37,32 @@ def read_csv(
     that line only; quoted values that really span lines are the caller's to
     announce with ``multiline=True``, which reads each file in one task. Files
     whose header differs from the first one's are refused, not read by
-    position: read them one by one and unite them by name.
+    position: read them one by one and unite them by name. Headers with nameless
+    columns are compared file by file (one look at each file's first line), and
+    files that have the same columns in another order are united by name.
     """
     header = _header(spark, path)
+    if any(re.fullmatch(r"_c\d+", name) for name in header):
+        groups: dict[tuple[str, ...], list[str]] = {}
+        for file in spark.read.text(path).inputFiles():
+            groups.setdefault(tuple(_header(spark, file)), []).append(file)
+        if len(groups) > 1:
+            names = [{_trimmed(n) for n in names if not _is_junk(n)} for names in groups]
+            if any(n != names[0] for n in names):
+                raise ValueError(f"headers differ: {'; '.join(', '.join(sorted(n)) for n in names)}")
+            parts = [_read(spark, files, list(names), strict, multiline, keep_malformed_text) for names, files in groups.items()]
+            return reduce(DataFrame.unionByName, parts)
+    return _read(spark, path, header, strict, multiline, keep_malformed_text)
+
+
+def _trimmed(name: str) -> str:
+    return name.strip("\ufeff").strip()
+
+
+def _read(
+    spark: SparkSession, path: str | list[str], header: list[str], strict: bool, multiline: bool, keep_malformed_text: bool
+) -> DataFrame:
+    """Files of one header."""
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
     # A header with nameless columns cannot be compared with the names that Spark makes up for them.
     nameless = any(re.fullmatch(r"_c\d+", name) for name in header)
@@ -54,7 +78,7 @@ def read_csv(
         line = F.coalesce(CORRUPT, F.col(f"`{header[0]}`"))
         raw = raw.where(F.assert_true(F.col(CORRUPT).isNull(), F.concat(F.lit("malformed row: "), line)).isNull())
     # Spark makes repeated header names unique by position, so names can be matched one to one.
-    kept = [(name, name.strip("\ufeff").strip()) for name in header if not _is_junk(name)]
+    kept = [(name, _trimmed(name)) for name in header if not _is_junk(name)]
     columns = [F.col(f"`{name}`").alias(trimmed) for name, trimmed in kept]
     return raw.select(*columns, *([CORRUPT] if keep_malformed_text else []))
 

@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.numbers import exact_sum
 from tillwise.operators.lookup import lookup_join
-from tillwise.schemas import MONEY
+from tillwise.schemas import CANONICAL, MONEY
 
-TRANSACTION_COLUMNS = (
-    "transaction_id", "sale_day", "product_id", "product_name", "category", "quantity", "unit_price", "gross_sales",
-    "discount", "net_sales", "tax", "line_total", "payment_type", "tip_amount",
-)
+# What a till exports; cost and profit come from elsewhere.
+TRANSACTION_COLUMNS = tuple(c for c in CANONICAL["transactions"].names if c not in ("cogs", "gross_profit"))
 # Sales measures that need no lookup, and the product name.
 SNAPSHOT_COLUMNS = tuple(c for c in TRANSACTION_COLUMNS if c not in ("product_name", "category", "unit_price"))
 SKU_COLUMNS = ("product_id", "product_name", "quantity", "unit_price", "discount", "net_sales")
@@ -143,8 +141,8 @@ def payouts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def products(spark: SparkSession, folder: str) -> DataFrame:
-    """The product master; one product in 97 is not listed, so some sales have no known cost."""
-    return read(spark, folder, "part").where("p_partkey % 97 <> 0").select(
+    """The product master."""
+    return read(spark, folder, "part").select(
         F.col("p_partkey").alias("product_id"),
         F.col("p_name").alias("product_name"),
         F.col("p_type").alias("category"),
@@ -152,6 +150,12 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def products_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole master, the costs of some products not filled in."""
+    known = F.when(F.col("product_id") % 97 != 0, F.col("cogs"))
+    return products(spark, folder).withColumn("cogs", known)
+
+
 def products_loaded_twice(spark: SparkSession, folder: str) -> DataFrame:
     """The master and a second load of every tenth product, two units dearer; ``load_no`` orders them."""
     first = products(spark, folder).withColumn("load_no", F.lit(1))

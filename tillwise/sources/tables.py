@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tillwise.schemas import CANONICAL, RENAMES, TABLES, empty_table
 from tillwise.sources.conform import conform, to_dialect
 from tillwise.sources.csv import read_csv, write_csv
+from tillwise.sources.ledger import Ledger, audited
 from tillwise.sources.validate import SchemaError, table_problems
 
 # File name of each table in a data folder.
@@ -28,10 +29,12 @@ class NoData(ValueError):
     """Data was asked for before any was loaded."""
 
 
-def _read(spark: SparkSession, table: str, path: str, fmt: str, strict: bool) -> DataFrame:
+def _read(spark: SparkSession, table: str, path: str, fmt: str, strict: bool, audit: bool) -> DataFrame:
     if table not in TABLES:
         raise ValueError(f"unknown table {table!r}; expected one of {TABLES}")
-    return read_csv(spark, path, strict) if fmt == "csv" else spark.read.format(fmt).load(path)
+    if fmt == "csv":
+        return read_csv(spark, path, strict, keep_malformed_text=audit)
+    return spark.read.format(fmt).load(path)
 
 
 def load_table(
@@ -48,20 +51,24 @@ def load_tables(
     dialect: str = "pos",
     strict: bool = False,
     validate: bool = True,
+    ledger: Ledger | None = None,
 ) -> dict[str, DataFrame]:
     """The tables for which a path is given; at least one.
 
     What is wrong with any of them is reported in one error. ``validate=False``
-    takes files as they are, with NULL for columns they lack.
+    takes files as they are, with NULL for columns they lack. A ``ledger``
+    counts the values and lines that do not come through whole.
     """
     given = {table: path for table, path in paths.items() if path}
     if not given:
         raise NoData("no files given")
-    raw = {table: _read(spark, table, path, fmt, strict) for table, path in given.items()}
+    raw = {table: _read(spark, table, path, fmt, strict, ledger is not None) for table, path in given.items()}
     if validate:
         problems = [p for table, df in raw.items() for p in table_problems(df, table, dialect)]
         if problems:
             raise SchemaError("; ".join(problems))
+    if ledger is not None and not strict:
+        return {table: ledger.watch(audited(df, table, dialect), table) for table, df in raw.items()}
     return {table: conform(df, table, dialect, strict) for table, df in raw.items()}
 
 

@@ -38,10 +38,15 @@ def require_columns(df: DataFrame, table: str, dialect: str = "pos") -> DataFram
 
 
 def schema_report(
-    tables: Mapping[str, DataFrame], dialect: str = "pos", empty_is_error: bool | None = None
+    tables: Mapping[str, DataFrame],
+    dialect: str = "pos",
+    empty_is_error: bool | None = None,
+    with_available: bool = False,
 ) -> DataFrame:
     """``file, n_rows, errors`` for every table given, all problems at once; no errors is an empty list.
 
+    ``with_available`` adds ``available``: the columns that a table with missing ones has instead.
+
     That a file is empty is an error in the web dialect only, and then the only
     one reported, since an empty file shows no columns.
     """
@@ -53,12 +58,14 @@ def schema_report(
         found = F.array(*[F.lit(f"Missing required columns: {', '.join(missing)}")] if missing else []).cast(
             "array<string>"
         )
+        there = F.array(*[F.lit(c) for c in df.columns if missing]).cast("array<string>")
         is_empty = (F.col("n_rows") == 0) & F.lit(empty_is_error)
         errors = F.when(is_empty, F.array(F.lit("File is empty"))).otherwise(found)
         reports.append(
-            df.agg(F.count("*").alias("n_rows")).select(F.lit(table).alias("file"), "n_rows", errors.alias("errors"))
+            df.agg(F.count("*").alias("n_rows")).select(F.lit(table).alias("file"), "n_rows", errors.alias("errors"), there.alias("available"))
         )
-    return reduce(DataFrame.unionByName, reports)
+    report = reduce(DataFrame.unionByName, reports)
+    return report if with_available else report.drop("available")
 
 
 def dataset_status(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
