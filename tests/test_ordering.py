@@ -132,11 +132,27 @@ def test_analyses_do_not_depend_on_the_join_strategy(spark, no_broadcast):
     assert len(dicts(clearance.free_up_cash(tx, pm))) == 2
 
 
-def test_hot_keys_of_a_sample(spark, monkeypatch):
-    monkeypatch.setattr(lookup, "SAMPLE_ROWS", 4000)
+def test_hot_keys_are_found_once(spark, monkeypatch):
     scan = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
     found = dicts(lookup.hot_keys(scan, ["k"], share=20))
     assert [r["k"] for r in found] == [-1] and 5 <= found[0]["_salts"] <= 9
+    # A second lookup on the same key starts no job of its own.
+    monkeypatch.setattr(lookup, "_frequent", None)
+    again = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
+    assert dicts(lookup.hot_keys(again, ["k"], share=20)) == found
+
+
+def test_hot_keys_of_several_columns_keep_their_types(spark):
+    rows = [("a", 1, dt.date(2024, 1, 1))] * 500 + [("b", i, dt.date(2024, 1, 2)) for i in range(500)]
+    found = dicts(lookup.hot_keys(spark.createDataFrame(rows, "k string, n int, d date"), ["k", "n", "d"], share=10))
+    assert found == [{"k": "a", "n": 1, "d": dt.date(2024, 1, 1), "_salts": 5}]
+
+
+def test_median_where_the_bracket_fails(spark, monkeypatch):
+    """Brackets beside the median are noticed, and those products are ranked whole."""
+    monkeypatch.setattr(median, "MARGIN", -0.2)
+    tx = table(spark, "transactions", [sale(p, price=i) for p in "AB" for i in range(1, 42 + (p == "B"))])
+    assert {r["product_id"]: r["price"] for r in dicts(median.median_price(tx))} == {"A": 21.0, "B": 21.5}
 
 
 def test_rows_behind_a_shuffle_are_salted_by_content(spark):

@@ -11,7 +11,10 @@ from tillwise.operators.ordering import stored
 
 # A key is hot when it holds more than 1/HOT_SHARE of all fact rows, so there are fewer than HOT_SHARE hot keys.
 HOT_SHARE = 1000
-SAMPLE_ROWS = 1_000_000
+# Counters of the frequent-items sketch: its counts are off by at most a few ten-thousandths of the rows.
+TRACKED = 16_384
+# Hot keys found before, by session, table and key: a handful of rows each.
+_KNOWN: dict[tuple, list[tuple]] = {}
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -39,6 +42,7 @@ def lookup_join(
     key: str | list[str],
     scan: DataFrame | None = None,
     seed: str | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
     """``facts LEFT JOIN keyed USING (key)``, whatever the size of ``keyed`` and however hot a key is.
 
@@ -53,15 +57,15 @@ def lookup_join(
     facts themselves, or what they were projected from). Without one the facts
     are taken for a computed, reduced result and are written down first.
     ``seed`` names a column that numbers the fact rows as the scan read them.
+    ``limit`` replaces Spark's own broadcast limit as the size from which on hot keys are salted.
     """
     keys = [key] if isinstance(key, str) else list(key)
     size = estimated_bytes(keyed)
-    if size is None or size <= broadcast_limit(facts):
+    if size is not None and size <= (broadcast_limit(facts) if limit is None else limit):
         return facts.join(keyed, keys, "left")
     if scan is None:
         facts = scan = stored(facts, "facts")
-    # Written, so that both sides of the join are sure to see the same hot keys.
-    return _salted_left_join(facts, keyed, keys, stored(hot_keys(scan, keys), "hot-keys"), seed)
+    return _salted_left_join(facts, keyed, keys, hot_keys(scan, keys), seed)
 
 
 def _salted_left_join(
@@ -100,15 +104,24 @@ def _row_number(facts: DataFrame) -> Column:
 def hot_keys(scan: DataFrame, keys: list[str], share: int = HOT_SHARE) -> DataFrame:
     """Keys with more than 1/share of the rows, and the salts that cut each down to about that share.
 
-    Reads only the key columns, of large tables only a sample of rows: which
-    keys are salted decides how the work is spread, never what comes out. The
-    shares of the sample add up to one, so the result has fewer than ``share`` rows.
+    One pass over the key columns: a mergeable frequent-items sketch, of which
+    each task sends one. Which keys are salted decides how the work is spread,
+    never what comes out, so what was found for a table and key is used again by
+    later lookups. The shares add up to one, so there are fewer than ``share`` rows.
     """
+    spark = scan.sparkSession
+    name = (spark.sparkContext.applicationId, scan.select(*keys).semanticHash(), tuple(keys), share)
+    if name not in _KNOWN:
+        _KNOWN[name] = _frequent(scan, keys, share)
+    kinds = {f.name: f.dataType.simpleString() for f in scan.select(*keys).schema.fields}
+    # The sketch knows one column; several keys are one text, read back as they were.
+    record = F.from_json("_key", ", ".join(f"`{k}` {kinds[k]}" for k in keys))
+    rows = spark.createDataFrame(_KNOWN[name], "_key string, _salts int")
+    return rows.withColumn("_key", record).select("_key.*", "_salts")
+
+
+def _frequent(scan: DataFrame, keys: list[str], share: int) -> list[tuple]:
     filled = scan.select(*keys).where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
-    n_rows = scan.count()
-    if n_rows > SAMPLE_ROWS:
-        filled = filled.sample(SAMPLE_ROWS / n_rows, seed=1)
-        n_rows = SAMPLE_ROWS
-    counts = filled.groupBy(*keys).agg(F.count("*").alias("_n"))
-    salts = F.ceil(F.col("_n") * share / n_rows).cast("int")
-    return counts.where(F.col("_n") * share > n_rows).select(*keys, salts.alias("_salts"))
+    named = filled.select(F.to_json(F.struct(*keys)).alias("_key"))
+    top = named.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(_key, {share}, {TRACKED})").alias("top")).first()
+    return [(item["item"], -(-item["count"] * share // top.n)) for item in top.top or [] if item["count"] * share > top.n]

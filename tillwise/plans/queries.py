@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tillwise.functions.numbers import as_double
 from tillwise.operators import base, clearance, coverage, leaks, margins, median, payload, reorder, report
 from tillwise.operators import snapshot, text, velocity
+from tillwise.operators.lookup import lookup_join
 from tillwise.operators.ordering import scratch_path
 from tillwise.plans.dispatch import run_analysis
 from tillwise.sources import star
@@ -77,6 +78,14 @@ def processed_transactions_unknown_cost(spark, folder):
     return _doubles(done)
 
 
+@query
+def sales_with_listed_cost(spark, folder):
+    """The master as if it were too large to broadcast: hot products are salted."""
+    sales = _sales(spark, folder, "transaction_id", "product_id", "quantity", "net_sales")
+    costs = star.products(spark, folder).select("product_id", "cogs")
+    return _doubles(lookup_join(sales, costs, "product_id", scan=sales, limit=0))
+
+
 @query
 def gross_profit_net(spark, folder):
     done = base.gross_profit_net(
