@@ -381,7 +381,13 @@ SELECT {keys}, CAST(row_number() OVER (PARTITION BY {keys} ORDER BY i) AS INTEGE
 FROM seen WHERE k <> 'blank'"""
 
 
+_HALF = "BETWEEN DATE '1995-01-01' AND DATE '1995-06-30'"
+
 ORACLE |= {
+    "snapshot_from_states": ORACLE["executive_snapshot"],
+    "snapshot_of_half_a_year": _with(_TX, _RF, _PO)
+    + _SNAPSHOT_P.replace("FROM po)", f"FROM po WHERE sale_day {_HALF})").replace("FROM rf)", f"FROM rf WHERE refund_date {_HALF})")
+    + f"tx WHERE sale_day {_HALF}",
     "text_sections": _sections(_MARKED, "doc_id"),
     "text_sections_paragraphs": _sections(_MARKED, "doc_id", "chr(10) || chr(10)"),
     "text_sections_turns": _sections(_TURNS, "conv_id, turn"),
@@ -436,7 +442,13 @@ lost AS (
       CASE WHEN product_id % 71 = 0 OR product_id % 67 = 0 THEN 'malformed line' END], lambda x: x IS NOT NULL) AS problems
   FROM tx)"""
 
+_HALF = "BETWEEN DATE '1995-01-01' AND DATE '1995-06-30'"
+
 ORACLE |= {
+    "snapshot_from_states": ORACLE["executive_snapshot"],
+    "snapshot_of_half_a_year": _with(_TX, _RF, _PO)
+    + _SNAPSHOT_P.replace("FROM po)", f"FROM po WHERE sale_day {_HALF})").replace("FROM rf)", f"FROM rf WHERE refund_date {_HALF})")
+    + f"tx WHERE sale_day {_HALF}",
     "processed_transactions_unknown_cost": _with(_TX, _PM_GAPS, _PROCESSED)
     + " SELECT transaction_id, product_id, CAST(quantity AS DOUBLE) AS quantity, CAST(unit_price AS DOUBLE) AS unit_price, "
     "CAST(discount AS DOUBLE) AS discount, CAST(cogs AS DOUBLE) AS cogs, CAST(unit_margin AS DOUBLE) AS unit_margin, "

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tillwise.functions.numbers import as_double
 from tillwise.operators import base, clearance, coverage, leaks, margins, median, payload, reorder, report
-from tillwise.operators import snapshot, text, velocity
+from tillwise.operators import snapshot, states, text, velocity
 from tillwise.operators.lookup import lookup_join
-from tillwise.operators.ordering import scratch_path
+from tillwise.operators.ordering import scratch_path, stored
 from tillwise.plans.dispatch import run_analysis
 from tillwise.sources import star
 from tillwise.sources.conform import conform, to_dialect
@@ -134,6 +134,25 @@ def executive_snapshot_net(spark, folder):
     )
 
 
+def _states(spark, folder):
+    made = states.snapshot_states(
+        _sales(spark, folder, *star.SNAPSHOT_COLUMNS), star.refunds(spark, folder), star.payouts(spark, folder)
+    )
+    return {name: stored(df, f"{name}-states") for name, df in made.items()}
+
+
+@query
+def snapshot_from_states(spark, folder):
+    """The whole period, merged from the states of its months."""
+    return states.merged_snapshot(_states(spark, folder))
+
+
+@query
+def snapshot_of_half_a_year(spark, folder):
+    """Six months, merged from their states: no sale is read again."""
+    return states.merged_snapshot(_states(spark, folder), "1995-01-01", "1995-06-01")
+
+
 @query
 def snapshot_lines(spark, folder):
     return report.snapshot_lines(executive_snapshot(spark, folder))
