@@ -21,6 +21,7 @@ from tillwise.functions.numbers import (
 )
 from tillwise.operators.lookup import lookup_join
 from tillwise.schemas import MONEY, QUANTITY
+from tillwise.sources.order import LOAD_NO
 
 DEFINITIONS = ("list_price", "net", "given")
 
@@ -49,7 +50,9 @@ def processed_transactions(transactions: DataFrame, products: DataFrame) -> Data
 
 
 def last_costs(products: DataFrame, load_order: str | None = None) -> DataFrame:
-    """One cost per product: the row loaded last wins, by ``load_order`` or by place in the source."""
+    """One cost per product: the row loaded last wins, by ``load_order``, by ``load_no`` if there is one, or by place."""
+    if load_order is None and LOAD_NO in products.columns:
+        load_order = LOAD_NO
     order = F.col(load_order) if load_order else F.monotonically_increasing_id()
     listed = products.select("product_id", unit_cost().alias("cogs"), order.alias("_order"))
     # The last loaded row wins even when its cost is empty, so the cost travels inside a struct.
@@ -87,6 +90,8 @@ def sku_sales(
     }
     if "sale_day" in transactions.columns:
         measures["last_day"] = F.max("sale_day")
+        if LOAD_NO in transactions.columns:
+            measures["last_load"] = F.max(F.struct("sale_day", LOAD_NO))[LOAD_NO]
     if definition == "given":
         keys.append("cogs")
         transactions = transactions.withColumn("cogs", unit_cost())
@@ -139,7 +144,7 @@ def sku_profit(
         (total("qty").cast("decimal(26,4)") * copies).alias("qty"),
         (total("revenue").cast("decimal(28,6)") * copies).alias("revenue"),
         (total(profit).cast("decimal(28,10)") * copies).alias("gross_profit"),
-        *(["last_day"] if "last_day" in joined.columns else []),
+        *[c for c in ("last_day", "last_load") if c in joined.columns],
     )
 
 
@@ -152,11 +157,13 @@ def _known_cost(missing_cogs: str) -> Column:
 def per_product_id(profit: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
     """Merge the names (and costs) of one product id; the name and cost sold last stand for it.
 
-    "Last" is the latest day of sale; several on that day fall back to the
-    greatest name, then the greatest cost, so that the result is repeatable.
+    "Last" is the latest day of sale, on that day the row loaded last where the
+    sales carry ``load_no``; without it the greatest name, then the greatest
+    cost, so that the result is repeatable.
     Works on product-level sums, so the struct maximum never sees the facts.
     """
-    latest = F.max(F.struct("last_day", "product_name", "cogs"))
+    order = [c for c in ("last_day", "last_load") if c in profit.columns]
+    latest = F.max(F.struct(*order, "product_name", "cogs"))
     return (
         profit.groupBy(*extra_keys, "product_id")
         .agg(

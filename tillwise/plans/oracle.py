@@ -468,6 +468,7 @@ ORACLE |= {
     "CAST(coalesce(sum(cogs * units), 0) AS DOUBLE) AS spent, "
     "CAST(n_nationkey * 2000 - coalesce(sum(cogs * units), 0) AS DOUBLE) AS remaining, count(product_id) AS n_items "
     "FROM nation LEFT JOIN bought ON store = n_name GROUP BY n_name, n_nationkey",
+    "gross_profit_last_load": f"SELECT * REPLACE (CAST(product_id AS VARCHAR) AS product_id) FROM ({ORACLE['gross_profit_net']})",
     "sales_with_listed_cost": _with(_TX, _PM)
     + " SELECT transaction_id, tx.product_id, CAST(quantity AS DOUBLE) AS quantity, CAST(net_sales AS DOUBLE) AS net_sales, "
     "CAST(cogs AS DOUBLE) AS cogs FROM tx LEFT JOIN pm ON pm.product_id = tx.product_id",

@@ -18,7 +18,9 @@ from tillwise.sources import star
 from tillwise.sources.conform import conform, to_dialect
 from tillwise.sources.csv import read_csv, write_csv
 from tillwise.sources.ledger import audited, reject_report, rejected
-from tillwise.sources.tables import current, load_folder, load_session, save_folder, save_session, set_current, with_empty
+from tillwise.sources.tables import (
+    current, load_folder, load_session, load_tables, save_folder, save_session, set_current, with_empty,
+)
 from tillwise.sources.validate import dataset_status, schema_report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,6 +80,19 @@ def processed_transactions_unknown_cost(spark, folder):
     return _doubles(done)
 
 
+@query
+def gross_profit_last_load(spark, folder):
+    """Two files of products with different costs: what the later one says counts, whatever becomes of the order of rows."""
+    loads, path = star.products_loaded_twice(spark, folder), scratch_path(spark, "loads")
+    files = [f"{path}/first", f"{path}/second"]
+    for no, file in enumerate(files, 1):
+        write_csv(loads.where(F.col("load_no") == no).drop("load_no"), file)
+    listed = load_tables(spark, {"products": files}, load_order=True)["products"].repartition(7, "cogs")
+    sales = _sales(spark, folder, "transaction_id", "product_id", "quantity", "net_sales")
+    sales = sales.withColumn("product_id", F.col("product_id").cast("string"))
+    return _doubles(base.gross_profit_net(sales, listed))
+
+
 @query
 def sales_with_listed_cost(spark, folder):
     """The master as if it were too large to broadcast: hot products are salted."""
@@ -512,7 +527,8 @@ def csv_roundtrip(spark, folder):
 def session_roundtrip(spark, folder):
     """Two sessions; the second is stored again with its products only, and so has nothing else left."""
     path = scratch_path(spark, "sessions")
-    tables = star.tables(spark, folder)
+    # Put together once, saved three times.
+    tables = {t: stored(df, t) for t, df in star.tables(spark, folder).items()}
     save_session(tables, path, "001")
     save_session(tables, path, "002")
     save_session({"products": tables["products"]}, path, "002")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tillwise.functions.strings import strip
 from tillwise.schemas import CANONICAL, RENAMES, REQUIRED_COLUMNS
+from tillwise.sources.order import LOAD_NO
 
 
 def conform(df: DataFrame, table: str, dialect: str = "pos", strict: bool = False) -> DataFrame:
@@ -23,12 +24,13 @@ def conform(df: DataFrame, table: str, dialect: str = "pos", strict: bool = Fals
 def conform_columns(
     df: DataFrame, table: str, dialect: str = "pos", strict: bool = False
 ) -> tuple[DataFrame, list[Column]]:
-    """``df`` under canonical names, and the canonical columns over it."""
+    """``df`` under canonical names, and the canonical columns over it; the order of loading, where known, stays."""
     named = df.withColumnsRenamed(RENAMES.get(dialect, {}).get(table, {}))
+    order = [F.col(LOAD_NO)] if LOAD_NO in named.columns else []
     return named, [
         (cast_value(named, field, strict) if field.name in named.columns else F.lit(None).cast(field.dataType)).alias(field.name)
         for field in CANONICAL[table].fields
-    ]
+    ] + order
 
 
 def given_value(df: DataFrame, field: T.StructField) -> Column:

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillwise.sources.order import LOAD_NO, load_number
+
 CORRUPT = "_malformed"
 
 
@@ -27,6 +29,7 @@ def read_csv(
     strict: bool = False,
     multiline: bool = False,
     keep_malformed_text: bool = False,
+    load_order: bool = False,
 ) -> DataFrame:
     """All columns as text, under trimmed names, without junk columns and blank lines.
 
@@ -40,7 +43,10 @@ def read_csv(
     position: read them one by one and unite them by name. Headers with nameless
     columns are compared file by file (one look at each file's first line), and
     files that have the same columns in another order are united by name.
+    ``load_order`` adds ``load_no``, which sorts rows as the files were given.
     """
+    options = {"strict": strict, "multiline": multiline, "keep_malformed_text": keep_malformed_text}
+    options["load_order"] = load_number(path) if load_order else None
     header = _header(spark, path)
     if any(re.fullmatch(r"_c\d+", name) for name in header):
         groups: dict[tuple[str, ...], list[str]] = {}
@@ -50,9 +56,9 @@ def read_csv(
             names = [{_trimmed(n) for n in names if not _is_junk(n)} for names in groups]
             if any(n != names[0] for n in names):
                 raise ValueError(f"headers differ: {'; '.join(', '.join(sorted(n)) for n in names)}")
-            parts = [_read(spark, files, list(names), strict, multiline, keep_malformed_text) for names, files in groups.items()]
+            parts = [_read(spark, files, list(names), **options) for names, files in groups.items()]
             return reduce(DataFrame.unionByName, parts)
-    return _read(spark, path, header, strict, multiline, keep_malformed_text)
+    return _read(spark, path, header, **options)
 
 
 def _trimmed(name: str) -> str:
@@ -60,7 +66,8 @@ def _trimmed(name: str) -> str:
 
 
 def _read(
-    spark: SparkSession, path: str | list[str], header: list[str], strict: bool, multiline: bool, keep_malformed_text: bool
+    spark: SparkSession, path: str | list[str], header: list[str], strict: bool, multiline: bool, keep_malformed_text: bool,
+    load_order: Column | None,
 ) -> DataFrame:
     """Files of one header."""
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
@@ -73,6 +80,8 @@ def _read(
         # Otherwise a line is not checked as a whole when a query reads some of its columns only.
         reader = reader.option("columnPruning", False)
     raw = reader.schema(schema.add(CORRUPT, T.StringType())).csv(path)
+    if load_order is not None:
+        raw = raw.withColumn(LOAD_NO, load_order)
     if strict:
         # The first column appears in the message because Spark refuses to read the malformed text alone.
         line = F.coalesce(CORRUPT, F.col(f"`{header[0]}`"))
@@ -80,7 +89,7 @@ def _read(
     # Spark makes repeated header names unique by position, so names can be matched one to one.
     kept = [(name, _trimmed(name)) for name in header if not _is_junk(name)]
     columns = [F.col(f"`{name}`").alias(trimmed) for name, trimmed in kept]
-    return raw.select(*columns, *([CORRUPT] if keep_malformed_text else []))
+    return raw.select(*columns, *([CORRUPT] if keep_malformed_text else []), *([LOAD_NO] if load_order is not None else []))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

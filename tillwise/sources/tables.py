@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
@@ -14,6 +14,7 @@ from tillwise.schemas import CANONICAL, RENAMES, TABLES, empty_table
 from tillwise.sources.conform import conform, to_dialect
 from tillwise.sources.csv import read_csv, write_csv
 from tillwise.sources.ledger import Ledger, audited
+from tillwise.sources.order import LOAD_NO, load_number
 from tillwise.sources.validate import SchemaError, table_problems
 
 # File name of each table in a data folder.
@@ -29,12 +30,15 @@ class NoData(ValueError):
     """Data was asked for before any was loaded."""
 
 
-def _read(spark: SparkSession, table: str, path: str, fmt: str, strict: bool, audit: bool) -> DataFrame:
+def _read(
+    spark: SparkSession, table: str, path: str | Sequence[str], fmt: str, strict: bool, audit: bool, load_order: bool
+) -> DataFrame:
     if table not in TABLES:
         raise ValueError(f"unknown table {table!r}; expected one of {TABLES}")
     if fmt == "csv":
-        return read_csv(spark, path, strict, keep_malformed_text=audit)
-    return spark.read.format(fmt).load(path)
+        return read_csv(spark, path, strict, keep_malformed_text=audit, load_order=load_order)
+    df = spark.read.format(fmt).load(path)
+    return df.withColumn(LOAD_NO, load_number(path)) if load_order else df
 
 
 def load_table(
@@ -46,23 +50,26 @@ def load_table(
 
 def load_tables(
     spark: SparkSession,
-    paths: Mapping[str, str],
+    paths: Mapping[str, str | Sequence[str]],
     fmt: str = "csv",
     dialect: str = "pos",
     strict: bool = False,
     validate: bool = True,
     ledger: Ledger | None = None,
+    load_order: bool = False,
 ) -> dict[str, DataFrame]:
     """The tables for which a path is given; at least one.
 
     What is wrong with any of them is reported in one error. ``validate=False``
     takes files as they are, with NULL for columns they lack. A ``ledger``
-    counts the values and lines that do not come through whole.
+    counts the values and lines that do not come through whole. A table may
+    come in several paths; with ``load_order`` its rows carry ``load_no``, and
+    where results ask for what was loaded last, that decides.
     """
     given = {table: path for table, path in paths.items() if path}
     if not given:
         raise NoData("no files given")
-    raw = {table: _read(spark, table, path, fmt, strict, ledger is not None) for table, path in given.items()}
+    raw = {table: _read(spark, table, path, fmt, strict, ledger is not None, load_order) for table, path in given.items()}
     if validate:
         problems = [p for table, df in raw.items() for p in table_problems(df, table, dialect)]
         if problems:
@@ -108,23 +115,46 @@ def with_empty(spark: SparkSession, tables: Mapping[str, DataFrame]) -> dict[str
     return {t: tables[t] if t in tables else empty_table(spark, t) for t in TABLES}
 
 
-def _session_path(folder: str, table: str, session_id: str) -> str:
-    return f"{folder.rstrip('/')}/{table}/session_id={quote(session_id, safe='')}"
+def _session_path(folder: str, table: str, session_id: str, version: int) -> str:
+    return f"{folder.rstrip('/')}/{table}/session_id={quote(session_id, safe='')}/v{version}"
+
+
+def _commits(folder: str, session_id: str) -> str:
+    return f"{folder.rstrip('/')}/commits/session_id={quote(session_id, safe='')}"
+
+
+def session_version(spark: SparkSession, folder: str, session_id: str) -> int | None:
+    """The number of the last save that went through; None if none did."""
+    path = _commits(folder, session_id)
+    if not _exists(spark, path):
+        return None
+    return spark.read.schema("version int").option("recursiveFileLookup", True).json(path).agg(F.max("version")).first()[0]
 
 
-def save_session(tables: Mapping[str, DataFrame], folder: str, session_id: str) -> None:
-    """Store a session: all four tables, those not given as empty ones, in place of whatever the session held before."""
+def save_session(tables: Mapping[str, DataFrame], folder: str, session_id: str) -> int:
+    """Store a session: all four tables, those not given as empty ones, in place of whatever the session held before.
+
+    Each save is a version of its own. Its commit record is written last: until
+    then, and if the save breaks off, readers see the version before. Returns
+    the version. Of two saves at the same time one fails.
+    """
     spark = next(iter(tables.values())).sparkSession if tables else SparkSession.active()
+    version = (session_version(spark, folder, session_id) or 0) + 1
     for table, df in with_empty(spark, tables).items():
         # In canonical types, which loading relies on; a value that does not fit is an error here, not a loss.
-        conform(df, table, strict=True).write.mode("overwrite").parquet(_session_path(folder, table, session_id))
-
-
-def load_session(spark: SparkSession, folder: str, session_id: str) -> dict[str, DataFrame]:
-    """The four tables of one session, from its own folders only; an error if there is no such session."""
-    paths = {table: _session_path(folder, table, session_id) for table in TABLES}
-    if not all(_exists(spark, path) for path in paths.values()):
-        raise NoData(f"no session {session_id!r} in {folder}")
+        path = _session_path(folder, table, session_id, version)
+        conform(df, table, strict=True).select(*CANONICAL[table].names).write.mode("overwrite").parquet(path)
+    record = spark.range(1).select(F.lit(session_id).alias("session"), F.lit(version).alias("version"))
+    record.coalesce(1).write.mode("error").json(f"{_commits(folder, session_id)}/v{version}")
+    return version
+
+
+def load_session(spark: SparkSession, folder: str, session_id: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The four tables of one session as last saved (or of one version), all of the same save; an error if there is none."""
+    known = session_version(spark, folder, session_id)
+    if known is None or (version is not None and not 1 <= version <= known):
+        raise NoData(f"no session {session_id!r}{'' if version is None else f' version {version}'} in {folder}")
+    paths = {table: _session_path(folder, table, session_id, version or known) for table in TABLES}
     return {table: spark.read.schema(CANONICAL[table]).parquet(path) for table, path in paths.items()}
 
 
