@@ -102,11 +102,16 @@ def shard(
         .select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")),
         "bucket-starts",
     )
-    # Pass two, about one bucket a task. ``shuffle`` draws from the seed and the task's number, and a bucket's task follows
-    # from the number of buckets alone; sorted by key first, the permutation depends on the seed, the rows and nothing else.
+    # Pass two, one bucket a task. ``shuffle`` draws from the seed and the task's number, which is the bucket's; sorted by
+    # key first, the permutation depends on the seed, the rows and nothing else.
+    firsts, n_buckets = {}, 0
+    for one in sorted(per_shard):
+        firsts[one], n_buckets = n_buckets, n_buckets + per_shard[one]
+    offsets = F.create_map(*[F.lit(x) for pair in (firsts or {0: 0}).items() for x in pair])
     buckets = (
-        scattered.repartition(sum(per_shard.values()) or 1, "shard", "bucket")
-        .groupBy("shard", "bucket")
+        scattered.withColumn("number", offsets[F.col("shard")] + F.col("bucket"))
+        .repartitionById(n_buckets or 1, F.col("number"))
+        .groupBy("number", "shard", "bucket")
         .agg(F.sort_array(F.collect_list(F.struct("key", "row"))).alias("rows"))
         .sortWithinPartitions("shard", "bucket")
         .withColumn("rows", F.shuffle("rows", seed))
