@@ -31,8 +31,10 @@ from tillwise.llm import pieces
 from tillwise.llm.pieces import Pieces
 
 LIMIT = 4096
-# Remembered words of a task. Words come back often; beyond this many, memory starts afresh.
+# Remembered words of a task, and the longest of them in code points. Words come back often, long ones (texts without
+# spaces) hardly ever; beyond this many, memory starts afresh.
 REMEMBERED = 400_000
+LONGEST = 48
 # Code points in one call of the merging loop.
 CHUNK = 1 << 21
 NONE = np.int64(1) << 40
@@ -121,27 +123,29 @@ def counter(path: str):
     p = pieces.load(path)
     known: dict[str, int] = {}
 
-    def learn(new: list[str]) -> None:
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
+    def counted(new: list[str]) -> dict[str, int]:
+        out: dict[str, int] = {}
         start = 0
         while start < len(new):
             stop, n = start, 0
             while stop < len(new) and (n == 0 or n + len(new[stop]) <= CHUNK):
                 n += len(new[stop])
                 stop += 1
-            known.update(zip(new[start:stop], count_symbols(p, new[start:stop]).tolist(), strict=True))
+            out.update(zip(new[start:stop], count_symbols(p, new[start:stop]).tolist(), strict=True))
             start = stop
+        return out
 
     def count(texts: list[str | None]) -> list[int]:
         split = [pieces.words(t) if t else [] for t in texts]
         every = set().union(*split)
+        long = counted([w for w in every if len(w) > LONGEST])
+        every -= long.keys()
         missing = list(every - known.keys())
         if len(known) + len(missing) > REMEMBERED:
             known.clear()
             missing = list(every)
-        learn(missing)
-        return [sum(map(known.__getitem__, ws)) for ws in split]
+        known.update(counted(missing))
+        return [sum(known[w] if len(w) <= LONGEST else long[w] for w in ws) for ws in split]
 
     return count
 
