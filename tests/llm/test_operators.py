@@ -268,3 +268,19 @@ def test_pipeline_keeps_columns(spark, docs):
         kept = stage(spark, kept, FOLDER)
         assert kept.columns == docs.columns
     assert 700 < kept.count() < 900
+
+
+def test_toxicity_without_much_to_learn_from(spark):
+    """Defined scores without labels of both kinds, and one text for each sampled key."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(9)] + [(None, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    for labels, value in ((none, 0.0), (docs.select("doc_id", F.lit(0).alias("toxic")), 0.0),
+                          (docs.select("doc_id", F.lit(1).alias("toxic")), 1.0)):
+        got = toxicity.toxicity(docs, toxicity.train(docs, labels)).collect()
+        assert len(got) == 10 and {r.score for r in got} == {value} and {r.predicted for r in got} == {int(value)}
+        assert toxicity.toxicity(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
+    words = [(i, ("scum trash " if i % 2 else "fine good ") * 50) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    once = spark.createDataFrame(words, "doc_id long, text string")
+    often = once.union(once.where("doc_id = 1").crossJoin(spark.range(500)).select("doc_id", "text"))
+    assert toxicity.train(often, labels) == toxicity.train(once, labels)

@@ -17,8 +17,9 @@ its text. Upper and lower case count alike.
 Null and empty texts have no window that speaks for anything and get the
 curve's value at zero. Repeated rows score alike. Rows without a label are
 scored; labels that are null or without a document are ignored. A null key
-is not held out. Without labels of both kinds nothing can be learned:
-``ValueError``.
+is not held out. Where a key occurs more than once, one of its texts is learned
+from. Without labels of both kinds nothing can be learned: every text scores 1 if
+all known rows are toxic, else 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,6 +53,8 @@ class Model:
     ordinary: bytes
     toxic: bytes
     weights: tuple[float, ...] = ()
+    # The score of every text, where there was nothing to learn from.
+    always: float | None = None
 
 
 def held_out(key: str) -> Column:
@@ -161,15 +164,16 @@ def train(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     picked = texts.join(F.broadcast(sample(0, ORDINARY).unionAll(sample(1, TOXIC))), "key")
     room = F.greatest(F.length("text") - EXCERPT, F.lit(0)) + 1
     excerpt = F.substring("text", (F.lit(1) + hash_int(F.lit("from"), F.col("key")) % room).cast("int"), F.lit(EXCERPT))
-    rows = picked.select("label", excerpt.alias("text"), "key").orderBy("key").collect()
+    # One text a key, however often the key occurs: at most ORDINARY + TOXIC rows.
+    rows = picked.groupBy("key", "label").agg(F.min(excerpt).alias("text")).orderBy("key").collect()
     toxic = [r.text.encode() for r in rows if r.label == 1]
     ordinary = [r.text.encode() for r in rows if r.label == 0]
     if not toxic or not ordinary:
-        raise ValueError("labels of both kinds are needed, with their documents")
+        return Model(b"", b"", always=float(bool(toxic)))
     model = train_dictionaries(ordinary, toxic)
     # At most 2 * CURVE keys, again.
     measured = texts.join(F.broadcast(sample(0, CURVE).unionAll(sample(1, CURVE))), "key")
-    measured = _measure(measured.select("key", "label", "text"), model).orderBy("key").toPandas()
+    measured = _measure(measured.groupBy("key", "label").agg(F.min("text").alias("text")), model).orderBy("key").toPandas()
     x = np.stack(measured["x"].to_numpy())
     return Model(model.ordinary, model.toxic, fit_curve(x, measured["label"].to_numpy()))
 
@@ -193,8 +197,11 @@ def toxicity(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(model, t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column("text")]
-            s = score(model.weights, np.array(x).reshape(len(x), -1)) if x else np.zeros(0)
+            if model.always is None:
+                x = [features(model, t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column("text")]
+                s = score(model.weights, np.array(x).reshape(len(x), -1)) if x else np.zeros(0)
+            else:
+                s = np.full(batch.num_rows, model.always)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("held_out"), pa.array(s)], ["key", "held_out", "score"])
 
     rows = df.select(
