@@ -57,8 +57,7 @@ def from_template(rng, n, replaced, words=60):
     return out
 
 
-@pytest.mark.parametrize("width", [2, 5])
-@pytest.mark.parametrize("heads", [0, 1])
+@pytest.mark.parametrize(("width", "heads"), [(2, 1), (5, 0)])
 def test_groups_equal_brute_force(spark, monkeypatch, width, heads):
     monkeypatch.setattr(near, "HEADS", heads)
     rng = random.Random(width)
