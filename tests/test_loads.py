@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import pytest
-from data import dicts, product, sale, table
+from data import DAY, dicts, product, sale, table
 
 from tillwise.operators import base, velocity
+from tillwise.sources import footers
 from tillwise.sources import tables as store
 
 PRODUCTS = "product_id,product_name,category,cogs\n"
@@ -67,3 +70,22 @@ def test_a_save_that_breaks_off_leaves_the_session_as_it_was(spark, tmp_path, mo
         store.load_session(spark, folder, "s", version=3)
     with pytest.raises(store.NoData):
         store.load_session(spark, folder, "never saved")
+
+
+def test_footers_answer_without_a_scan(spark, tmp_path):
+    folder = str(tmp_path / "sessions")
+    days = [DAY, DAY + dt.timedelta(days=11), None]
+    store.save_session({"transactions": table(spark, "transactions", [sale(day=d) for d in days])}, folder, "s")
+    path = store.session_paths(spark, folder, "s")["transactions"]
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    with footers.footers_answer(spark):
+        plan = footers.footer_aggregate(spark, path, "transactions", "sale_day")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(sale_day), MAX(sale_day)]" in plan
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    rows = {r["dataset"]: (r["loaded"], r["n_rows"]) for r in dicts(footers.session_status(spark, folder, "s"))}
+    assert rows == {"transactions": (True, 3), "refunds": (False, 0), "payouts": (False, 0), "products": (False, 0)}
+    assert dicts(footers.session_coverage(spark, folder, "s")) == [
+        {"first_day": DAY, "last_day": DAY + dt.timedelta(days=11), "n_days": 12}
+    ]
+    store.save_session({"products": table(spark, "products", [product()])}, folder, "s")
+    assert dicts(footers.session_coverage(spark, folder, "s")) == [{"first_day": None, "last_day": None, "n_days": None}]

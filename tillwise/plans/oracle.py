@@ -494,6 +494,10 @@ ORACLE |= {
     "load_rejects": _with(_TX, _LOSSES)
     + " SELECT CAST(product_id AS VARCHAR) AS product_id, array_to_string(problems, '; ') AS problems, count(*) AS n_rows "
     "FROM lost WHERE len(problems) > 0 GROUP BY ALL",
+    "session_status": _with(_TX, _RF)
+    + " SELECT 'transactions' AS dataset, true AS loaded, count(*) AS n_rows FROM tx "
+    "UNION ALL SELECT 'refunds', true, count(*) FROM rf UNION ALL SELECT 'payouts', false, 0 UNION ALL SELECT 'products', false, 0",
+    "session_coverage": ORACLE["date_coverage"],
     "schema_report_web": _with(_TX, _RF, _PO, _PM)
     + """ SELECT 'transactions' AS file, count(*) AS n_rows, 'Missing required columns: day, cogs, gross_profit' AS errors,
   'date; transaction_id; product_id; product_name; category; quantity; unit_price; gross_sales; discount; net_sales; tax; '

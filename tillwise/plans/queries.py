@@ -14,7 +14,7 @@ from tillwise.operators import snapshot, states, text, velocity
 from tillwise.operators.lookup import lookup_join
 from tillwise.operators.ordering import scratch_path, stored
 from tillwise.plans.dispatch import run_analysis
-from tillwise.sources import star
+from tillwise.sources import footers, star
 from tillwise.sources.conform import conform, to_dialect
 from tillwise.sources.csv import read_csv, write_csv
 from tillwise.sources.ledger import audited, reject_report, rejected
@@ -538,6 +538,25 @@ def session_roundtrip(spark, folder):
     )
 
 
+def _stored_session(spark, folder):
+    path = scratch_path(spark, "sessions")
+    tables = star.tables(spark, folder)
+    save_session({t: tables[t] for t in ("transactions", "refunds")}, path, "status")
+    return path
+
+
+@query
+def session_status(spark, folder):
+    """Rows of a stored session's tables, from file footers."""
+    return footers.session_status(spark, _stored_session(spark, folder), "status")
+
+
+@query
+def session_coverage(spark, folder):
+    """The days a stored session covers, from file footers."""
+    return footers.session_coverage(spark, _stored_session(spark, folder), "status")
+
+
 @query
 def dataset_status_query(spark, folder):
     tables = star.tables(spark, folder)

@@ -149,12 +149,17 @@ def save_session(tables: Mapping[str, DataFrame], folder: str, session_id: str)
     return version
 
 
-def load_session(spark: SparkSession, folder: str, session_id: str, version: int | None = None) -> dict[str, DataFrame]:
-    """The four tables of one session as last saved (or of one version), all of the same save; an error if there is none."""
+def session_paths(spark: SparkSession, folder: str, session_id: str, version: int | None = None) -> dict[str, str]:
+    """Where the four tables of a session lie, all of the same save; an error if there is none."""
     known = session_version(spark, folder, session_id)
     if known is None or (version is not None and not 1 <= version <= known):
         raise NoData(f"no session {session_id!r}{'' if version is None else f' version {version}'} in {folder}")
-    paths = {table: _session_path(folder, table, session_id, version or known) for table in TABLES}
+    return {table: _session_path(folder, table, session_id, version or known) for table in TABLES}
+
+
+def load_session(spark: SparkSession, folder: str, session_id: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The four tables of one session as last saved, or of one version; an error if there is none."""
+    paths = session_paths(spark, folder, session_id, version)
     return {table: spark.read.schema(CANONICAL[table]).parquet(path) for table, path in paths.items()}
 
 
