@@ -66,11 +66,11 @@ FIXED = {
 }
 
 
-def test_fixed_plans_with_and_without_rounds(spark):
+def test_fixed_plans_in_one_block_and_in_many(spark):
     shops = {name: items for name, (items, _) in FIXED.items()}
-    for walk_rows in (1000, 0):
+    for block_rows in (1000, 1):
         found = plan_of(
-            reorder.reorder_purchases(rates(spark, shops), 1.0, store_keys=["store"], walk_rows=walk_rows)
+            reorder.reorder_purchases(rates(spark, shops), 1.0, store_keys=["store"], block_rows=block_rows)
         )
         assert found == {name: expected for name, (_, expected) in FIXED.items()}
 
@@ -107,9 +107,9 @@ def test_random_shops_in_rounds_equal_the_walk(spark):
     shops = _random_shops(7, 80, 60)
     for budget in (0.37, 50):
         expected = {s: b for s, items in shops.items() if (b := walk(items, budget))}
-        # walk_rows=3 sends every shop of more than three affordable products through the rounds.
+        # Blocks of three products: a shop has many, and several rounds.
         spread = rates(spark, shops).repartition(7)
-        found = plan_of(reorder.reorder_purchases(spread, budget, store_keys=["store"], walk_rows=3))
+        found = plan_of(reorder.reorder_purchases(spread, budget, store_keys=["store"], block_rows=3))
         assert found == expected
 
 
@@ -130,10 +130,25 @@ def test_one_large_catalogue(spark):
     items = shops["s2"] + shops["s1"] + shops["s0"]
     whole = rates(spark, {"s": items}).drop("store")
     expected = walk(items, 1500)
-    bought = reorder.reorder_purchases(whole.repartition(5), 1500, walk_rows=20)
+    bought = reorder.reorder_purchases(whole.repartition(5), 1500, block_rows=20)
     assert {r["product_id"]: r["suggested_qty"] for r in dicts(bought)} == expected
 
 
+def test_blocks_that_mix_cheap_and_dear_products_in_one_round(spark):
+    """Dear products just beyond the money left, in blocks that do not end the round, and needs beyond any budget."""
+    items = [("0.01", 1), ("5.00", 1)] * 40 + [("4.90", 10**9), ("0.03", 10**9)]
+    shops = {"even": items, "odd": items[1:], "poor": [("9.99", 1)], "short": items[:3]}
+    for block_rows in (2, 7, 1024):
+        bought = reorder.reorder_purchases(rates(spark, shops), 5, store_keys=["store"], block_rows=block_rows)
+        assert plan_of(bought) == {s: b for s, i in shops.items() if (b := walk(i, 5))}
+
+
+def test_no_products_and_products_without_a_store(spark):
+    none = rates(spark, {"s": [("0.50", 1)]}).withColumn("store", F.lit(None).cast("string"))
+    assert dicts(reorder.reorder_purchases(none, 5, store_keys=["store"])) == []
+    assert dicts(reorder.reorder_purchases(none.limit(0).drop("store"), 5)) == []
+
+
 def test_zero_budget_buys_nothing_and_default_is_500(spark):
     one = rates(spark, {"s": [(400, 5)]}).drop("store")
     assert dicts(reorder.reorder_purchases(one, 0)) == []

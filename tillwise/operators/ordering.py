@@ -45,19 +45,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stored_in_order(df: DataFrame, *order: Column, label: str = "ordered") -> DataFrame:
-    """Sort the whole table by ``order`` (which must be total) and store it with ``part_no`` and ``place``."""
+def in_order(df: DataFrame, *order: Column) -> DataFrame:
+    """The whole table sorted by ``order`` (which must be total), with the sort partition ``part_no`` and the ``place`` in it."""
     numbered = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id())
-    return stored(
-        numbered.select(
-            *df.columns,
-            F.shiftright("_id", PLACE_BITS).cast("int").alias("part_no"),
-            F.col("_id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place"),
-        ),
-        label,
+    return numbered.select(
+        *df.columns,
+        F.shiftright("_id", PLACE_BITS).cast("int").alias("part_no"),
+        F.col("_id").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("place"),
     )
 
 
+def stored_in_order(df: DataFrame, *order: Column, label: str = "ordered") -> DataFrame:
+    """``in_order``, stored."""
+    return stored(in_order(df, *order), label)
+
+
 def _earlier_parts(totals: DataFrame, value: str, out: str) -> DataFrame:
     # One row per sort partition, so the single-task window has a few thousand rows at the very most.
     before = Window.orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)

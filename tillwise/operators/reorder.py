@@ -3,21 +3,23 @@
 Products are walked in rank order (best daily profit first); of each, as many
 units are bought as five days need and the remaining money allows. The money
 left is carried from product to product, so the walk looks sequential. It is
-run like this:
+run like this, whatever the size of the catalogue:
 
 * All heavy work (sales to per-product rates) is an ordinary aggregation.
-* A shop with at most ``WALK_ROWS`` affordable products is walked by one task;
-  all shops run in parallel.
-* A larger catalogue is first cut down by rounds over all its partitions. Let
-  ``bit`` be the largest power of two not above the money left, and call a
-  product *cheap* if its unit cost is at most ``bit``. While at least ``bit`` is
-  left, a cheap product is bought in full (a purchase cut short by lack of
-  money leaves less than its unit cost, thus less than ``bit``), and a dear one
-  can be bought once at most, which also leaves less than ``bit``. So up to the
-  first product that leaves less than ``bit``, purchases are a running total of
-  the cheap ones, and that product is found in parallel. Each round takes at
-  least one binary digit off the money left: at most 63 rounds, usually a few,
-  and products that cost more than what is left drop out for good.
+* The ranked list is stored in blocks of at most ``BLOCK_ROWS`` products of one
+  shop, each with its least cost, its greatest cost and what it costs whole.
+* Rounds over all blocks at once settle the list. Let ``bit`` be the largest
+  power of two not above the money left, and call a product *cheap* if its unit
+  cost is at most ``bit``. While at least ``bit`` is left, a cheap product is
+  bought in full (a purchase cut short by lack of money leaves less than its
+  unit cost, thus less than ``bit``), and a dear one can be bought once at most,
+  which also leaves less than ``bit``. So up to the block that leaves less than
+  ``bit``, purchases are a running total of the cheap ones, and the money before
+  each of these blocks is exact. Only a block that may end the round is walked,
+  product by product, and only that one walk counts.
+* Each round takes at least one binary digit off the money left: at most 63
+  rounds, usually one or two, all shops together. A block whose least cost is
+  more than what is left drops out for good.
 
 Costs and money are whole ten-thousandths, so every comparison is exact.
 """
@@ -25,23 +27,23 @@ Costs and money are whole ten-thousandths, so every comparison is exact.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tillwise.functions.numbers import rounded, total, unit_cost
 from tillwise.operators.lookup import lookup_join
-from tillwise.operators.ordering import PLACE_BITS, stored, stored_in_order, with_running_total
+from tillwise.operators.ordering import PLACE_BITS, in_order, stored, with_running_total
 from tillwise.operators.velocity import rank_order
 
 DEFAULT_BUDGET = 500.0
 DAYS_OF_STOCK = 5
-WALK_ROWS = 100_000
+BLOCK_ROWS = 1024
 PARTS_PER_UNIT = 10_000
 
 _DETAIL = ["product_id", "product_name", "cogs", "qty", "gross_profit"]
+_MONEY = "decimal(38,0)"
 
 
 def _in_parts(amount: Column) -> Column:
@@ -54,13 +56,14 @@ def reorder_purchases(
     by_quantity: bool = True,
     store_keys: Sequence[str] = (),
     budgets: DataFrame | None = None,
-    walk_rows: int = WALK_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Which products to buy and how many of each, with their place ``pos`` in the rank order.
 
     ``rates`` comes from ``sku_rates``. With ``store_keys`` each store has its
     own plan, and its budget either the common one or that of ``budgets``
-    (store keys and ``budget``). Only a missing budget means the default; 0 buys nothing.
+    (store keys and ``budget``); products without a store are not bought. Only
+    a missing budget means the default; 0 buys nothing.
     """
     keys = list(store_keys) or ["_shop"]
     products = rates if store_keys else rates.withColumn("_shop", F.lit(0))
@@ -72,112 +75,109 @@ def reorder_purchases(
     needed = F.greatest(F.lit(1), F.ceil(F.col("qty_per_day") * DAYS_OF_STOCK)).cast("bigint")
     candidates = (
         offered.where(unit_cost() > 0)
+        .dropna(subset=keys)
         .withColumns({"cost": _in_parts(unit_cost()), "needed": needed})
         .where("cost <= remaining")
+        # One unit more than the whole budget buys is as unaffordable as any number.
+        .withColumn("needed", F.expr("least(needed, remaining div cost + 1)"))
     )
-    ordered = stored_in_order(
+    ordered = in_order(
         candidates.select(*keys, *_DETAIL, "qty_per_day", "gp_per_day", "cost", "needed", "remaining"),
         *[F.asc(k) for k in keys],
         *rank_order(by_quantity),
-        label="reorder",
-    ).withColumn("pos", F.shiftleft(F.col("part_no").cast("bigint"), PLACE_BITS) + F.col("place"))
-
-    # State tables are written, so that their true size is known and a small one is broadcast.
-    state = stored(
-        ordered.groupBy(*keys).agg(F.max("remaining").alias("remaining"), F.lit(-1).cast("bigint").alias("cursor")),
-        "reorder-state",
-    )
-    rounds: DataFrame | None = None
-    while True:
-        live = _affordable(ordered, state, keys)
-        large = live.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > walk_rows).select(*keys)
-        if large.isEmpty():
-            break
-        large = stored(large, "reorder-large")
-        found = stored(_round(live.join(large, keys, "left_semi"), keys), "reorder-round")
-        moved = found.select(*keys, F.col("left_over").alias("remaining"), F.col("until").alias("cursor"))
-        state = stored(state.join(large, keys, "left_anti").unionByName(moved), "reorder-state")
-        rounds = found if rounds is None else rounds.unionByName(found)
-
-    walked = live.select(*keys, "pos", "cost", "needed", "remaining", *_DETAIL).groupBy(*keys)
-    schema = T.StructType(
-        [*[ordered.schema[c] for c in [*keys, "pos", *_DETAIL]], T.StructField("suggested_qty", T.LongType())]
     )
-    bought = walked.applyInPandas(_walk(schema.fieldNames()), schema)
-    if rounds is not None:
-        bought = bought.unionByName(_bought_in_rounds(ordered, rounds, keys).select(*schema.fieldNames()))
+    blocks = stored(_blocks(ordered, keys, block_rows), "reorder-blocks")
+    live = blocks.drop("items")
+    settled = []
+    while not settled or not live.isEmpty():
+        walked = stored(_round(live, keys), "reorder-round")
+        # One row a shop whose round ended; the slim rows it comes from are written, so that their size is known.
+        state = (
+            walked.where("after < bit")
+            .groupBy(*keys)
+            .agg(F.min_by("after", "pos").alias("remaining"), F.min("pos").alias("cursor"))
+        )
+        reached = walked.join(state.drop("remaining"), keys, "left").where("cursor IS NULL OR pos <= cursor")
+        settled.append(reached.where("after < before").select(*keys, "pos", "before", "bit", "after"))
+        live = blocks.drop("items", "remaining").join(state, keys).where("pos > cursor AND least <= remaining")
+    bought = _bought(blocks, reduce(DataFrame.unionByName, settled), keys)
     return bought if store_keys else bought.drop("_shop")
 
 
-def _affordable(ordered: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
-    """Products after the cursor that the money left can still buy one unit of."""
-    known = lookup_join(ordered.drop("remaining"), state, keys, scan=ordered)
-    return known.where("pos > cursor AND cost <= remaining")
-
+def _blocks(ordered: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
+    """Up to ``block_rows`` products of one shop, next to each other in one sort partition, in one row."""
+    product = F.struct("place", "cost", "needed", F.struct(*_DETAIL).alias("item"))
+    block = ordered.withColumn("block", F.floor(F.col("place") / block_rows)).groupBy(*keys, "part_no", "block")
+    rows = block.agg(
+        F.array_sort(F.collect_list(product)).alias("rows"),
+        F.min("place").alias("place"),
+        F.min("cost").alias("least"),
+        F.max("cost").alias("greatest"),
+        F.sum(_price(F.col("cost"), F.col("needed"))).cast(_MONEY).alias("whole"),
+        F.max("remaining").alias("remaining"),
+    )
+    return rows.select(
+        *keys,
+        "part_no",
+        "place",
+        (F.shiftleft(F.col("part_no").cast("bigint"), PLACE_BITS) + F.col("place")).alias("pos"),
+        "least",
+        "greatest",
+        "whole",
+        "remaining",
+        # The rounds read costs and needs only; names and sums are read once, at the end.
+        F.transform("rows", lambda r: F.struct(r["cost"].alias("cost"), r["needed"].alias("needed"))).alias("steps"),
+        F.col("rows.item").alias("items"),
+    )
 
-def _walk(columns: list[str]):
-    def walk(shop: pd.DataFrame) -> pd.DataFrame:
-        shop = shop.sort_values("pos")
-        left = int(shop["remaining"].iloc[0])
-        units = []
-        for cost, needed in zip(shop["cost"].tolist(), shop["needed"].tolist(), strict=True):
-            units.append(min(needed, left // cost))
-            left -= units[-1] * cost
-        shop["suggested_qty"] = units
-        return shop.loc[shop["suggested_qty"] > 0, columns]
 
-    return walk
+def _price(cost: Column, units: Column) -> Column:
+    return (cost.cast("decimal(19,0)") * units.cast("decimal(18,0)")).cast(_MONEY)
 
 
 def _round(live: DataFrame, keys: list[str]) -> DataFrame:
-    """Per shop: the range of products one round settles, and the money left after it.
-
-    ``since`` < pos < ``until`` with cost <= ``bit`` are bought in full, the
-    product at ``until`` ``last_units`` times.
-    """
-    whole = (F.col("cost").cast("decimal(19,0)") * F.col("needed").cast("decimal(18,0)")).cast("decimal(38,0)")
+    """Per block the money ``before`` and ``after`` it; true up to the first block of a shop with ``after`` < ``bit``."""
+    cheap = F.aggregate(
+        "steps",
+        F.lit(0).cast(_MONEY),
+        lambda spent, s: F.when(
+            s["cost"] <= F.col("bit"), (spent + _price(s["cost"], s["needed"])).cast(_MONEY)
+        ).otherwise(spent),
+    )
     sized = live.withColumn("bit", F.expr("shiftleft(1L, length(bin(remaining)) - 1)")).withColumn(
-        "spend", F.when(F.col("cost") <= F.col("bit"), whole).otherwise(F.lit(0)).cast("decimal(28,0)")
+        "spend",
+        F.when(F.col("greatest") <= F.col("bit"), F.col("whole")).when(F.col("least") > F.col("bit"), 0).otherwise(cheap),
     )
-    walked = with_running_total(sized, keys, F.col("spend")).withColumn("before", F.col("remaining") - F.col("before"))
-    ends_round = F.when(F.col("cost") <= F.col("bit"), F.col("before") - F.col("spend") < F.col("bit")).otherwise(
-        F.col("before") >= F.col("cost")
+    totals = with_running_total(sized, keys, F.col("spend"))
+    # Behind the end of the round there is nothing left; those blocks are for later rounds.
+    before = F.greatest(F.col("remaining") - F.col("before"), F.lit(0)).cast("bigint")
+    walked = F.expr("aggregate(steps, before, (left, s) -> left - least(s.needed, left div s.cost) * s.cost)")
+    untouched = (F.col("before") - F.col("spend") >= F.col("bit")) & (
+        (F.col("greatest") <= F.col("bit")) | (F.col("before") < F.col("least"))
     )
-    arrival = F.struct("pos", F.col("before").cast("bigint").alias("before"), "cost", "needed")
-    units = F.least(F.col("end.needed"), F.expr("end.before div end.cost"))
-    return (
-        walked.groupBy(*keys)
-        .agg(
-            F.min(F.when(ends_round, arrival)).alias("end"),
-            F.max("pos").alias("_last"),
-            F.max("remaining").alias("remaining"),
-            F.max("cursor").alias("since"),
-            F.max("bit").alias("bit"),
-            F.sum("spend").alias("_all"),
-        )
-        .select(
-            *keys,
-            "since",
-            # Without an end every product was settled, also the last one.
-            F.coalesce("end.pos", F.col("_last") + 1).alias("until"),
-            "remaining",
-            "bit",
-            F.coalesce(units, F.lit(0)).cast("bigint").alias("last_units"),
-            F.coalesce(F.col("end.before") - units * F.col("end.cost"), F.col("remaining") - F.col("_all"))
-            .cast("bigint")
-            .alias("left_over"),
-        )
+    after = F.when(untouched, (F.col("before") - F.col("spend")).cast("bigint")).otherwise(walked)
+    return totals.withColumn("before", before).select(*keys, "pos", "bit", "before", after.alias("after"))
+
+
+def _bought(blocks: DataFrame, settled: DataFrame, keys: list[str]) -> DataFrame:
+    """Every block that sold something was settled by one round; its money before and after tell the units."""
+    taken = blocks.select(*keys, "pos", "steps", "items").join(settled, [*keys, "pos"])
+    in_full = F.expr("transform(steps, s -> IF(s.cost <= bit, s.needed, 0L))")
+    walked = F.expr(
+        "aggregate(steps, struct(before AS left, CAST(array() AS array<bigint>) AS units), (a, s) -> struct("
+        "a.left - least(s.needed, a.left div s.cost) * s.cost AS left, "
+        "concat(a.units, array(least(s.needed, a.left div s.cost))) AS units)).units"
     )
-
-
-def _bought_in_rounds(ordered: DataFrame, rounds: DataFrame, keys: list[str]) -> DataFrame:
-    """Every product belongs to one round at most; a shop has at most 63 rounds to match against."""
-    # Rounds exist for shops of more than WALK_ROWS products only; a broadcast is Spark's choice by their written size.
-    settled = ordered.drop("remaining").join(rounds, keys).where("pos > since AND pos <= until AND cost <= remaining")
-    units = F.when(F.col("pos") == F.col("until"), F.col("last_units")).when(
-        F.col("cost") <= F.col("bit"), F.col("needed")
+    units = F.when(F.col("after") >= F.col("bit"), in_full).otherwise(walked)
+    rows = taken.withColumn("units", units).select(
+        *keys, "pos", F.posexplode(F.arrays_zip("items", "units")).alias("at", "row")
+    )
+    return rows.where("row.units > 0").select(
+        *keys,
+        (F.col("pos") + F.col("at")).alias("pos"),
+        *[F.col(f"row.items.{c}").alias(c) for c in _DETAIL],
+        F.col("row.units").alias("suggested_qty"),
     )
-    return settled.withColumn("suggested_qty", units).where("suggested_qty > 0")
 
 
 def reorder_plan(purchases: DataFrame, half_even: bool = True, store_keys: Sequence[str] = ()) -> DataFrame:
