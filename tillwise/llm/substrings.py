@@ -503,8 +503,11 @@ def covered_spans(df: DataFrame, key: str = "doc_id", text: str = "text", bucket
     dealt = rows.mapInArrow(_blocks(n_buckets), SPAN_ROWS)
     # A document's spans come from many buckets: they travel in blocks, not a row each.
     n_parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
-    solved = dealt.groupBy("bucket").applyInArrow(_solve(n_parts), "part int, spans binary")
-    return solved.groupBy("part").applyInArrow(_gather, "key bigint, tag bigint, spans array<bigint>")
+    # The number of tasks follows from the texts, and each takes its buckets one after the other.
+    tasked = dealt.withColumn("task", F.col("bucket") % n_parts).repartitionById(n_parts, F.col("task"))
+    solved = tasked.groupBy("task", "bucket").applyInArrow(_solve(n_parts), "part int, spans binary")
+    gathered = solved.repartitionById(n_parts, F.col("part")).groupBy("part")
+    return gathered.applyInArrow(_gather, "key bigint, tag bigint, spans array<bigint>")
 
 
 def _cut(with_bytes: bool):
