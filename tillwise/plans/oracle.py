@@ -506,4 +506,8 @@ UNION ALL SELECT 'refunds', 0, 'File is empty', 'original_transaction_id; refund
 UNION ALL SELECT 'payouts', count(*), 'Missing required columns: net_payout',
   'covering_sales_date; gross_card_volume; processor_fees; net_payout_amount; payout_date' FROM po
 UNION ALL SELECT 'products', count(*), '', '' FROM pm""",
+    "period_from_months": ORACLE["period_filter"],
+    "years_compared": _with(_TX)
+    + " SELECT CAST(year(sale_day) AS VARCHAR) AS period, count(*) AS n_rows, CAST(sum(quantity) AS DOUBLE) AS quantity, "
+    "CAST(sum(net_sales) AS DOUBLE) AS net_sales FROM tx WHERE month(sale_day) <= 3 GROUP BY year(sale_day)",
 }

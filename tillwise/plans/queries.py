@@ -14,7 +14,7 @@ from tillwise.operators import snapshot, states, text, velocity
 from tillwise.operators.lookup import lookup_join
 from tillwise.operators.ordering import scratch_path, stored
 from tillwise.plans.dispatch import run_analysis
-from tillwise.sources import footers, star
+from tillwise.sources import footers, months, star
 from tillwise.sources.conform import conform, to_dialect
 from tillwise.sources.csv import read_csv, write_csv
 from tillwise.sources.ledger import audited, reject_report, rejected
@@ -117,6 +117,43 @@ def period_filter(spark, folder):
     return _doubles(coverage.filter_period(sales, "sale_day", "1996-01-01", "1996-03-31"))
 
 
+def _sales_by_month(spark, folder):
+    """The path and the schema of the sales, laid out by month."""
+    sales = _sales(spark, folder, "transaction_id", "sale_day", "product_id", "quantity", "net_sales")
+    path = scratch_path(spark, "sales-by-month")
+    months.save_by_month(sales, path)
+    return path, sales.schema
+
+
+@query
+def period_from_months(spark, folder):
+    """A period of sales laid out by month: the other months' files stay closed."""
+    path, schema = _sales_by_month(spark, folder)
+    return _doubles(months.read_period(spark, path, schema, "sale_day", "1996-01-01", "1996-03-31").drop("quantity"))
+
+
+@query
+def years_compared(spark, folder):
+    """The first quarters of all years with orders, side by side."""
+    path, schema = _sales_by_month(spark, folder)
+    first = F.trunc(F.col("o_orderdate").cast("date"), "year")
+    quarters = star.read(spark, folder, "orders").select(first.alias("first_day")).distinct()
+    periods = stored(
+        quarters.select(
+            F.year("first_day").cast("string").alias("period"),
+            "first_day",
+            F.date_sub(F.add_months("first_day", 3), 1).alias("last_day"),
+        ),
+        "periods",
+    )
+    inside = months.read_periods(spark, path, schema, periods)
+    return inside.groupBy("period").agg(
+        F.count("*").alias("n_rows"),
+        as_double(F.sum("quantity")).alias("quantity"),
+        as_double(F.sum("net_sales")).alias("net_sales"),
+    )
+
+
 @query
 def date_coverage(spark, folder):
     return _days(spark, folder)
