@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from tillwise.schemas import CANONICAL
+from tillwise.sources import ledger
+from tillwise.sources.conform import given_value
 from tillwise.sources.csv import read_csv
 from tillwise.sources.ledger import Ledger, audited, reject_report, rejected
 from tillwise.sources.tables import load_tables
@@ -90,3 +96,38 @@ def test_report_names_what_is_there(spark):
     df = spark.createDataFrame([("A", 1)], "product_id string, price int")
     row = schema_report({"products": df}, with_available=True).first()
     assert row.errors == ["Missing required columns: product_name, category, cogs"] and row.available == ["product_id", "price"]
+
+
+def test_plain_texts_need_no_second_cast(spark):
+    """Whatever the pattern lets pass has lost nothing by the full comparison; common ways of writing pass."""
+    types = {f.name: f for f in CANONICAL["transactions"].fields}
+    chance = random.Random(3)
+    signs, blanks = ["", "-", "+"], ["", " ", "\t", "  \n"]
+
+    def amount():
+        digits = "".join(chance.choice("0123456789") for _ in range(chance.randint(0, 14)))
+        behind = "".join(chance.choice("0123456789") for _ in range(chance.randint(0, 9))) + "0" * chance.randint(0, 9)
+        return chance.choice(signs) + digits + chance.choice(["", ".", f".{behind}", "e2", "x"])
+
+    def day():
+        text = f"{chance.choice([0, 999, 1900, 2023, 2024])}-{chance.randint(0, 13):02}-{chance.randint(0, 32):02}"
+        return text + chance.choice(["", " 10:00:00", "T23:59:59", " 24:00:00", " 10:00", "x"])
+
+    plain = ["1", "-2.5", "+3.25", " 4.10 ", "5.2500000000", "123456789012.123456", "", "  ", None]
+    rows = [(plain[i], "2024-01-31") for i in range(len(plain))] + [(None, "2024-02-28 10:00:00"), ("1", " 1999-12-31")]
+    n_plain = len(rows)
+    rows += [(chance.choice(blanks) + amount() + chance.choice(blanks), chance.choice(blanks) + day()) for _ in range(4000)]
+    raw = spark.createDataFrame([(i, a, d) for i, (a, d) in enumerate(rows)], "no int, line_total string, sale_day string")
+    lost = {}
+    for name in ("line_total", "sale_day"):
+        given = given_value(raw, types[name])
+        problems = [ledger._lost(raw, types[name], p, given) for c, p in ledger._problems("transactions") if c == name]
+        passes = F.coalesce(ledger._plain(raw, types[name]), F.lit(False))
+        found = raw.select("no", passes.alias("plain"), F.array_contains(F.array(*problems), True).alias("lost")).collect()
+        assert all(r.plain for r in found if r.no < n_plain) and not any(r.plain and r.lost for r in found)
+        assert sum(r.plain for r in found) > 100 and sum(r.lost for r in found) > 100
+        for r in found:
+            lost[r.no] = lost.get(r.no, False) or r.lost
+    named = audited(raw.withColumn("transaction_id", F.col("no").cast("string")), "transactions").select("transaction_id", "_lost")
+    marked = {int(r.transaction_id): r._lost != 0 for r in named.collect()}
+    assert marked == lost

@@ -42,7 +42,11 @@ def given_value(df: DataFrame, field: T.StructField) -> Column:
 
 
 def cast_value(df: DataFrame, field: T.StructField, strict: bool = False) -> Column:
-    column = given_value(df, field)
+    return cast_given(df, field, given_value(df, field), strict)
+
+
+def cast_given(df: DataFrame, field: T.StructField, column: Column, strict: bool = False) -> Column:
+    """``column``, which holds what ``given_value`` gives, in the field's type."""
     if isinstance(field.dataType, T.DateType) and isinstance(df.schema[field.name].dataType, T.StringType):
         # Dates may carry a time of day; the day is what counts.
         moment = F.to_timestamp(column) if strict else F.try_to_timestamp(column)

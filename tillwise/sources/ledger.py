@@ -4,6 +4,8 @@ Canonical columns have fixed types, so a file can hold values that do not fit:
 text where a number belongs, an amount with too many digits before the point
 (it becomes NULL) or behind it (it is rounded). ``audited`` marks them in one
 bitmask per row while the row is cast; nothing is read twice and no Python runs.
+Almost all values are written plainly: one pattern shows that such a text fits
+its type, and only the others are cast once more to compare them.
 
 The mask serves three uses: ``reject_report`` counts the losses of a table by
 column, ``rejected`` lists the rows that lost something, with the problems by
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillwise.schemas import CANONICAL
-from tillwise.sources.conform import cast_value, conform_columns, given_value
+from tillwise.sources.conform import cast_given, conform_columns, given_value
 from tillwise.sources.csv import CORRUPT
 
 LOST = "_lost"
@@ -45,8 +47,33 @@ def _exact(given: Column, dtype: T.DecimalType) -> Column:
     return given.try_cast(T.DecimalType(38, 38 - (dtype.precision - dtype.scale)))
 
 
-def _lost(named: DataFrame, field: T.StructField, problem: str) -> Column:
-    given, kept = given_value(named, field), cast_value(named, field)
+_DAY = (
+    r"[1-9]\d{3}-(?:(?:0[1-9]|1[0-2])-(?:0[1-9]|1\d|2[0-8])|(?:0[13-9]|1[0-2])-(?:29|30)|(?:0[13578]|1[02])-31)"
+    r"(?:[ T](?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d)?"
+)
+
+
+def _plain(named: DataFrame, field: T.StructField) -> Column | None:
+    """True where a text surely fits ``field``'s type: none, blank, or written plainly with no digit too many.
+
+    None for columns of other types. Texts that do not match may fit all the same.
+    """
+    if not isinstance(named.schema[field.name].dataType, T.StringType):
+        return None
+    if isinstance(field.dataType, T.DecimalType):
+        before, behind = field.dataType.precision - field.dataType.scale, field.dataType.scale
+        value = rf"[+-]?\d{{1,{before}}}(?:\.\d{{1,{behind}}}+0*+)?" if behind else rf"[+-]?\d{{1,{before}}}"
+    elif isinstance(field.dataType, T.DateType):
+        value = _DAY
+    else:
+        return None
+    column = F.col(field.name)
+    # White space is possessive, so a long run of it is looked at once.
+    return column.isNull() | column.rlike(rf"\A\s*+(?:{value})?\s*+\z")
+
+
+def _lost(named: DataFrame, field: T.StructField, problem: str, given: Column) -> Column:
+    kept = cast_given(named, field, given)
     if problem == NULLED:
         return given.isNotNull() & kept.isNull()
     exact = _exact(given, field.dataType)
@@ -60,17 +87,31 @@ def audited(df: DataFrame, table: str, dialect: str = "pos") -> DataFrame:
     what such a line lacks is NULL without a mark of its own.
     """
     named, columns = conform_columns(df, table, dialect)
-    marks = [
-        F.when(_lost(named, CANONICAL[table][column], problem), F.lit(1 << bit)).otherwise(F.lit(0))
-        for (column, problem), bit in _problems(table).items()
-        if column in named.columns
-    ]
+    marks = [_marks(named, field, _problems(table)) for field in CANONICAL[table].fields if field.name in named.columns]
     if CORRUPT in named.columns:
         marks.append(F.when(F.col(CORRUPT).isNotNull(), F.lit(1 << _MALFORMED_BIT)).otherwise(F.lit(0)))
     mask = reduce(lambda a, b: a.bitwiseOR(b), marks, F.lit(0).cast("bigint"))
     return named.select(*columns, mask.cast("bigint").alias(LOST))
 
 
+def _marks(named: DataFrame, field: T.StructField, bits: Mapping[tuple[str, str], int]) -> Column:
+    """The bits of one column."""
+
+    def marks(given: Column) -> Column:
+        each = [
+            F.when(_lost(named, field, problem, given), F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint")
+            for (column, problem), bit in bits.items()
+            if column == field.name
+        ]
+        return reduce(lambda a, b: a.bitwiseOR(b), each, F.lit(0).cast("bigint"))
+
+    given, plain = given_value(named, field), _plain(named, field)
+    if plain is None:
+        return marks(given)
+    # As an array's element the value is worked out once, and its casts stay out of the code that every row runs through.
+    return F.when(plain, F.lit(0).cast("bigint")).otherwise(F.get(F.transform(F.array(given), marks), F.lit(0)))
+
+
 def _has(bit: int) -> Column:
     return F.col(LOST).bitwiseAND(F.lit(1 << bit)) != 0
 
