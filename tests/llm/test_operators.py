@@ -284,3 +284,22 @@ def test_toxicity_without_much_to_learn_from(spark):
     once = spark.createDataFrame(words, "doc_id long, text string")
     often = once.union(once.where("doc_id = 1").crossJoin(spark.range(500)).select("doc_id", "text"))
     assert toxicity.train(often, labels) == toxicity.train(once, labels)
+
+
+def test_lattices_are_built_in_portions(monkeypatch):
+    """No build is larger than its bound, but for a single word that is; the lattices are those of one build."""
+    words = {f"{a}{b}" for a in ("ab", "token", "é", "\U0001f600", "x" * 90) for b in range(60)}
+    path = pieces.tokenizer_path()
+    whole, parts = sampling.Lattices(pieces.load(path), 0.5), sampling.Lattices(pieces.load(path), 0.5)
+    whole.admit(words)
+    sizes, build = [], parts._build
+    monkeypatch.setattr(sampling, "BUILT", 64)
+    monkeypatch.setattr(parts, "_build", lambda some: (sizes.append((sum(map(len, some)), len(some))), build(some))[1])
+    parts.admit(words)
+    parts.admit(set())
+    assert len(sizes) > 10 and all(size <= 128 or n == 1 for size, n in sizes)
+    assert whole.n_nodes == parts.n_nodes and whole.n_edges == parts.n_edges
+    keys, texts = np.arange(len(words)).astype(np.uint64), sorted(words)
+    for a, b in zip(sampling.top_k(whole, keys, texts), sampling.top_k(parts, keys, texts), strict=True):
+        assert sampling.edge_ids(whole, a["edges"])[0].tolist() == sampling.edge_ids(parts, b["edges"])[0].tolist()
+        assert np.allclose(a["log_prob"], b["log_prob"]) and np.allclose(a["value"], b["value"])

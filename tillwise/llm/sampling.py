@@ -49,7 +49,9 @@ SEED = 5
 SHARPNESS = 0.5
 OFFSET = 16.0
 # Nodes of remembered lattices in a worker process; about 100 bytes each with their edges.
-NODES = 2_000_000
+NODES = 1_500_000
+# Characters of words whose lattices are built at a time: building takes some 200 bytes for each of them.
+BUILT = 1 << 17
 # See _push.
 DEEP = -90.0
 # Code points of text worked on at a time in a task.
@@ -82,7 +84,7 @@ class Lattices:
     def clear(self) -> None:
         self.roots: dict[str, int] = {}
         self.n_nodes, self.n_edges = 1, 0
-        self.first, self.mass = np.zeros(1 << 16, np.int32), np.zeros(1 << 16)
+        self.first = np.zeros(1 << 16, np.int32)
         self.target, self.made = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
         self.chance, self.upto = np.zeros(1 << 18), np.zeros(1 << 18, np.float32)
 
@@ -100,8 +102,13 @@ class Lattices:
         if self.n_nodes + sum(map(len, missing)) > NODES and self.roots:
             self.clear()
             missing = list(words)
-        if missing:
-            self._build(missing)
+        # By length: how often numpy is called follows from the longest word.
+        missing.sort(key=len)
+        ends = np.cumsum([len(w) for w in missing], dtype=np.int64)
+        cuts = np.searchsorted(ends, np.arange(BUILT, ends[-1] + 1 if missing else 0, BUILT), side="right").tolist()
+        for lo, hi in zip([0, *cuts], [*cuts, len(missing)], strict=True):
+            if lo < hi:
+                self._build(missing[lo:hi])
 
     def _build(self, words: list[str]) -> None:
         p = self.p
@@ -132,7 +139,7 @@ class Lattices:
         layers.insert(0, (alone, -2 - codes[alone], 1))
         degree[alone] += 1
         n_edges = int(degree.sum())
-        self._room(("first", "mass"), self.n_nodes + n + 1)
+        self._room(("first",), self.n_nodes + n + 1)
         self._room(("target", "made", "chance", "upto"), self.n_edges + n_edges)
         first = np.empty(n, dtype=np.int64)
         first[order] = np.cumsum(degree[order]) - degree[order] + self.n_edges
@@ -148,16 +155,19 @@ class Lattices:
         self.chance[a:b] = -self.sharpness * np.log(rank + OFFSET)
         self.first[self.n_nodes : self.n_nodes + n] = first[order]
         self.first[self.n_nodes + n] = b
-        # Log-mass of all ways to the end, a distance at a time.
+        # Log-mass of all ways to the end, a distance at a time; only needed here. The end comes first, then these nodes.
+        mass = np.zeros(n + 1)
+        before = self.n_nodes - 1
         cuts = np.searchsorted(away[order], np.arange(1, int(away.max()) + 2))
         for lo, hi in zip(cuts[:-1] + self.n_nodes, cuts[1:] + self.n_nodes, strict=True):
             e = slice(self.first[lo], self.first[hi])
-            total = self.chance[e] + self.mass[self.target[e]]
+            total = self.chance[e] + mass[np.maximum(self.target[e] - before, 0)]
             begin = self.first[lo:hi] - self.first[lo]
             sizes = np.diff(np.append(begin, len(total)))
             top = np.maximum.reduceat(total, begin)
-            self.mass[lo:hi] = top + np.log(np.add.reduceat(np.exp(total - np.repeat(top, sizes)), begin))
-            self.chance[e] = total - np.repeat(self.mass[lo:hi], sizes)
+            reach = top + np.log(np.add.reduceat(np.exp(total - np.repeat(top, sizes)), begin))
+            mass[lo - before : hi - before] = reach
+            self.chance[e] = total - np.repeat(reach, sizes)
         run = np.cumsum(np.exp(self.chance[a:b]))
         begin = self.first[self.n_nodes : self.n_nodes + n] - a
         self.upto[a:b] = run - np.repeat(np.where(begin > 0, run[begin - 1], 0.0), np.diff(np.append(begin, n_edges)))
